@@ -65,14 +65,15 @@ class SimilarLines:
     def kept(self) -> DataFrame:
         """(doc_id, th, line) of all lines with tokens that stay."""
         w = self.work
-        lines = w.table(line_tokens(self.docs), "lines")
+        lines = w.table(line_tokens(self.docs), "lines", compression="zstd")
         self.name = f"skein_sets_{uuid.uuid4().hex}"
         sets = self._sets(lines)
+        w.drop(lines)
         w.release()
         settled = w.table(self._verified(self._crowd_pairs(sets), sets), "settled")
         found = w.table(self._verified(self._prefix_pairs(sets, settled), sets), "found")
         gone = settled.unionByName(found).distinct()
-        kept = w.table(sets.drop("toks").join(gone, "h", "left_anti").select("doc_id", "th", "line"), "kept")
+        kept = w.table(sets.select("h", "doc_id", "th", "line").join(gone, "h", "left_anti").select("doc_id", "th", "line"), "kept")
         self.spark.sql(f"drop table {self.name}")
         w.release()
         return kept
@@ -81,23 +82,22 @@ class SimilarLines:
         """A row for each distinct set: h, n, b, prefix, toks and its earliest line; bucketed by h."""
         coded = lines.withColumn("levels", F.lit(bytearray(rarity(lines))))
         coded = coded.withColumn("s", F.expr(f"sort_array(transform(toks, t -> shiftleft(cast(ascii(cast(substring(levels, cast(pmod(t, {_BUCKETS}) as int) + 1, 1) as string)) as bigint), 56) | (t & 72057594037927935)))"))
-        n = F.size("s")
-        prefix = F.slice("s", 1, n - F.floor((self.percent * n + 99) / 100).cast("int") + 1)
-        rows = coded.select("doc_id", "th", "line", "toks", F.xxhash64("s").alias("h"), n.alias("n"), prefix.alias("prefix"), F.expr("aggregate(s, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))").alias("b"))
-        firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), *(F.first(c).alias(c) for c in ("n", "b", "prefix", "toks")))
-        out = firsts.select("h", "n", "b", "prefix", "toks", "at.doc_id", "at.th", "at.line")
+        rows = coded.select("doc_id", "th", "line", F.xxhash64("s").alias("h"), F.expr("aggregate(s, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))").alias("b"), F.array_min("toks").alias("k1"), F.array_max("toks").alias("k2"), "s")
+        firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), *(F.first(c).alias(c) for c in ("b", "k1", "k2", "s")))
+        out = firsts.select("h", F.size("s").alias("n"), "b", "k1", "k2", "s", "at.doc_id", "at.th", "at.line")
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        out.write.bucketBy(buckets, "h").sortBy("h").option("path", self.work.folder("sets")).format("parquet").saveAsTable(self.name)
+        out.write.bucketBy(buckets, "h").sortBy("h").option("path", self.work.folder("sets")).option("compression", "zstd").format("parquet").saveAsTable(self.name)
         return self.spark.table(self.name)
 
     def _crowd_pairs(self, sets: DataFrame) -> DataFrame:
-        keyed = sets.select(F.explode(F.array_distinct(F.array(F.array_min("toks"), F.array_max("toks")))).alias("k"), "h", "n", "b", "doc_id", "th", "line")
+        keyed = sets.select(F.explode(F.array_distinct(F.array("k1", "k2"))).alias("k"), "h", "n", "b", "doc_id", "th", "line")
         firsts = keyed.groupBy("k").agg(F.min(F.struct("doc_id", "th", "line", "h", "n", "b")).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "y.h", "y.n", "y.b")
         pairs = keyed.alias("x").join(firsts.alias("y"), F.expr(f"x.k = y.k and x.h <> y.h and {_pair_filter(self.percent)}"))
         return pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
 
     def _prefix_pairs(self, sets: DataFrame, settled: DataFrame) -> DataFrame:
-        flagged = sets.select("h", "n", "b", "prefix", "doc_id").join(settled.select("h", F.lit(1).alias("f")), "h", "left")
+        prefix = F.slice("s", 1, F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100).cast("int") + 1)
+        flagged = sets.select("h", "n", "b", prefix.alias("prefix"), "doc_id").join(settled.select("h", F.lit(1).alias("f")), "h", "left")
         rows = flagged.select(F.posexplode("prefix").alias("p", "t"), "h", (F.col("n") * 2 + F.coalesce("f", F.lit(0))).alias("nf"), "b", "doc_id")
         rows = rows.select("t", "h", "b", "doc_id", (F.col("nf").cast("long") * (1 << 24) + F.col("p")).alias("pack"))
         # Both sides read the same columns, so that the shuffle by token is made once. The test on x's
@@ -112,7 +112,7 @@ class SimilarLines:
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """h of each x that is similar to an earlier y."""
-        side = lambda c: sets.select(F.col("h").alias(c), F.col("toks").alias(f"{c}_toks"), F.struct("doc_id", "th", "line").alias(f"{c}_at"))
+        side = lambda c: sets.select(F.col("h").alias(c), F.col("s").alias(f"{c}_toks"), F.struct("doc_id", "th", "line").alias(f"{c}_at"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").where("y_at < x_at")
         shared = both.withColumn("i", F.size(F.array_intersect("x_toks", "y_toks"))).where(f"100 * i >= {self.percent} * (size(x_toks) + size(y_toks) - i)")
         return shared.select(F.col("x").alias("h")).distinct()

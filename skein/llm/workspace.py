@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import shutil
 import tempfile
 import uuid
@@ -37,18 +36,27 @@ class Workspace:
         self.uri = f"{shared_root(spark)}/skein-{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         """Write df as Parquet and return the reread table: lineage ends here, and a lost executor
         costs a reread instead of a recomputation."""
         self._n += 1
         path = f"{self.uri}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:
         self._n += 1
         return f"{self.uri}/{self._n:03d}-{name}"
 
+    def drop(self, table: DataFrame) -> None:
+        """Delete the files of a table() that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if not folder.removeprefix("file:").lstrip("/").startswith(self.uri.removeprefix("file:").lstrip("/")):
+                raise ValueError(f"{folder} isn't of this workspace")
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
     def release(self) -> None:
         """Let Spark's cleaner drop the shuffle files of steps that are over."""
         gc.collect()
@@ -75,7 +83,3 @@ def attempt_name(prefix: str, suffix: str) -> str:
     part = ctx.partitionId() if ctx else 0
     return f"{prefix}-{part:05d}-{uuid.uuid4().hex}{suffix}"
 
-
-def temp_free(path: str) -> None:
-    if os.path.exists(path):
-        os.remove(path)
