@@ -1,11 +1,261 @@
-"""Named queries over the test tables and SQL that gives the same rows."""
+"""Named queries over the test tables, and SQL that gives the same rows.
+
+The tables make a graph: regions, nations, customers and suppliers are nodes; nations import regions,
+customers and suppliers are contained in nations, and customers call the suppliers they buy from. Market
+segments and account bands stand for types, nations for source files.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import text as fn
+from skein.operators import graph as g
+from skein.operators import impact, relevance, report, resolve
+from skein.sources import files as fs
+from skein.streaming import watch
+
+FLAGSHIP = "file_ranking"
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: _t(spark, sf, n)
+    none = F.lit(None).cast("string")
+    shape = lambda df, p, key, label, kind, file, about, base: df.select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), label.alias("label"), kind.alias("type"), file.alias("source_file"), none.alias("source_location"), about.alias("description"), (F.lit(base) + F.col(key)).cast("long").alias("ord"))
+    nation = F.concat(F.lit("src/nation"), F.col("n").cast("string"), F.lit(".ts"))
+    r = shape(t("region"), "r", "r_regionkey", F.col("r_name"), F.lit("file"), F.concat(F.lit("src/region"), F.col("r_regionkey").cast("string"), F.lit(".ts")), none, 0)
+    n = shape(t("nation").withColumn("n", F.col("n_nationkey")), "n", "n_nationkey", F.col("n_name"), F.lit("file"), nation, none, 1000)
+    s = shape(t("supplier").withColumn("n", F.col("s_nationkey")), "s", "s_suppkey", F.col("s_name"), F.lit("class"), nation, F.lit("Delivers parts"), 10**6)
+    c = shape(t("customer").withColumn("n", F.col("c_nationkey")), "c", "c_custkey", F.col("c_name"), F.lower("c_mktsegment"), nation, F.concat(F.lit("Buys for "), F.lower("c_mktsegment")), 10**9)
+    return r.unionByName(n).unionByName(s).unionByName(c)
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: _t(spark, sf, n)
+    link = lambda df, a, b, rel, ord: df.select(a.alias("source"), b.alias("target"), F.lit(rel).alias("relation"), F.lit("INFERRED" if rel == "calls" else "EXTRACTED").alias("confidence"), F.lit(0.85 if rel == "calls" else None).cast("double").alias("confidence_score"), F.lit(None).cast("string").alias("call_context"), ord.cast("long").alias("ord"))
+    at = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    bought = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    return link(t("nation"), at("n", "n_nationkey"), at("r", "n_regionkey"), "imports", F.col("n_nationkey")).unionByName(link(t("supplier"), at("n", "s_nationkey"), at("s", "s_suppkey"), "contains", 10**6 + F.col("s_suppkey"))).unionByName(link(t("customer"), at("n", "c_nationkey"), at("c", "c_custkey"), "contains", 10**9 + F.col("c_custkey"))).unionByName(link(bought, at("c", "o_custkey"), at("s", "l_suppkey"), "calls", 10**12 + F.col("o_custkey") * 10**7 + F.col("l_suppkey")))
+
+
+def table_graph(spark: SparkSession, sf: str) -> g.Graph:
+    return g.Graph(nodes(spark, sf), edges(spark, sf))
+
+
+_GRAPH = """
+with nodes as (
+    select 'r' || r_regionkey as id, r_name as label, 'file' as type, 'src/region' || r_regionkey || '.ts' as source_file, null as description, r_regionkey as ord from region
+    union all select 'n' || n_nationkey, n_name, 'file', 'src/nation' || n_nationkey || '.ts', null, 1000 + n_nationkey from nation
+    union all select 's' || s_suppkey, s_name, 'class', 'src/nation' || s_nationkey || '.ts', 'Delivers parts', 1000000 + s_suppkey from supplier
+    union all select 'c' || c_custkey, c_name, lower(c_mktsegment), 'src/nation' || c_nationkey || '.ts', 'Buys for ' || lower(c_mktsegment), 1000000000 + c_custkey from customer),
+edges as (
+    select 'n' || n_nationkey as source, 'r' || n_regionkey as target, 'imports' as relation, 'EXTRACTED' as confidence, cast(n_nationkey as bigint) as ord from nation
+    union all select 'n' || s_nationkey, 's' || s_suppkey, 'contains', 'EXTRACTED', 1000000 + s_suppkey from supplier
+    union all select 'n' || c_nationkey, 'c' || c_custkey, 'contains', 'EXTRACTED', 1000000000 + c_custkey from customer
+    union all select 'c' || o_custkey, 's' || l_suppkey, 'calls', 'INFERRED', 1000000000000 + o_custkey * 10000000 + l_suppkey
+        from (select distinct o_custkey, l_suppkey from orders join lineitem on o_orderkey = l_orderkey)),
+adj as (
+    select id, nbr, min(ord) as nbr_ord from (select source as id, target as nbr, ord from edges union all select target, source, ord from edges) group by id, nbr),
+degrees as (select nodes.*, coalesce(d.n, 0) as degree from nodes left join (select id, count(*) as n from adj group by id) d on nodes.id = d.id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "file_ranking"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@_query(_GRAPH + "select id, nbr, nbr_ord from adj where id like 's%'")
+def q_adjacency(spark, sf):
+    return table_graph(spark, sf).adjacency().where("id like 's%'")
+
+
+@_query(_GRAPH + "select id, label, type, degree from degrees order by degree desc, ord limit 25")
+def q_top_nodes(spark, sf):
+    return table_graph(spark, sf).top_nodes(25).select("id", "label", "type", "degree")
+
+
+@_query(_GRAPH + "select (select count(*) from nodes) as n_nodes, 0 as n_communities, (select count(*) from edges) as n_edges")
+def q_graph_stats(spark, sf):
+    return table_graph(spark, sf).stats()
+
+
+@_query(_GRAPH + "select source, target, relation from edges where relation <> 'calls' and source in (select id from nodes where ord < 1000000 and id <> 'n3') and target in (select id from nodes where id <> 'n3' and id <> 'r1')")
+def q_build_edges(spark, sf):
+    """Edges whose two ends exist, after two nodes went."""
+    n, e = nodes(spark, sf), edges(spark, sf)
+    return g.Graph.from_extraction(n.where("id not in ('n3', 'r1')"), e.where("relation <> 'calls'")).edges.select("source", "target", "relation")
+
+
+@_query(_GRAPH + "select least(source, target) as a, greatest(source, target) as b, relation, min(ord) as first_ord from edges where relation = 'contains' group by all")
+def q_merge(spark, sf):
+    """A graph merged with the reverse of its own edges gains nothing."""
+    n, e = nodes(spark, sf), edges(spark, sf).where("relation = 'contains'")
+    back = e.select(F.col("target").alias("source"), F.col("source").alias("target"), *e.columns[2:])
+    merged = g.Graph(n, e).merge(n, back)
+    return merged.edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "relation", F.col("ord").alias("first_ord"))
+
+
+@_query()
+def q_file_ranking(spark, sf):
+    graph = table_graph(spark, sf)
+    return g.file_ranking(g.Graph(graph.nodes.withColumn("centrality", F.lit(0.0)), graph.edges), 40).drop("ord")
+
+
+@_query()
+def q_centrality(spark, sf):
+    graph = table_graph(spark, sf)
+    small = g.Graph(graph.nodes.where("id not like 'c%'"), graph.edges.where("relation <> 'calls' and target not like 'c%'"))
+    return g.centrality(small).select("id", "centrality")
+
+
+@_query()
+def q_communities(spark, sf):
+    graph = table_graph(spark, sf)
+    return g.communities(g.Graph(graph.nodes.where("id not like 'c%'"), graph.edges.where("relation <> 'calls' and target not like 'c%'"))).select("id", "community")
+
+
+@_query()
+def q_label_propagation(spark, sf):
+    return g.label_propagation(table_graph(spark, sf), 3).select("id", "community")
+
+
+_WORDS = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[^a-zA-Z0-9]+'), lambda x: lower(x)), lambda x: len(x) > 1)"""
+
+
+@_query(_GRAPH + f", tok as (select id, unnest({_WORDS.format("label || ' ' || coalesce(description, '') || ' ' || type")}) as t from nodes), total as (select count(distinct id) as n from tok) select t, df, round(ln((n + 1) / (df + 1)) + 1, 9) as idf from (select t, count(distinct id) as df from tok group by t), total")
+def q_inverse_document_frequency(spark, sf):
+    tables = relevance.term_tables(nodes(spark, sf))
+    return tables.terms.groupBy("t").agg(F.count(F.lit(1)).alias("df")).join(tables.idf, "t").select("t", "df", F.round("idf", 9).alias("idf"))
+
+
+@_query(
+    _GRAPH
+    + f""", tok as (select id, unnest({_WORDS.format("label || ' ' || coalesce(description, '') || ' ' || type")}) as t from nodes),
+tf as (select id, t, count(*) as tf from tok group by id, t), total as (select count(distinct id) as n from tok),
+idf as (select t, ln((n + 1) / (count(*) + 1)) + 1 as idf from tf, total group by t, n),
+norm as (select id, sqrt(sum((tf * idf) ** 2)) as norm from tf join idf using (t) group by id),
+q as (select unnest(['buys', 'building', 'delivers']) as t), qi as (select q.t, coalesce(idf, 0.5) as idf from q left join idf on q.t = idf.t),
+qn as (select sqrt(sum(idf * idf)) as qnorm from qi),
+dot as (select id, sum(tf * qi.idf * qi.idf) as dot from tf join qi using (t) group by id),
+doc as (select id, array_to_string({_WORDS.format("label || ' ' || coalesce(description, '') || ' ' || type")}, ' ') as text from nodes)
+select doc.id, round(least(1.0, coalesce(dot / (qnorm * norm), 0) + 0.3 * (contains(text, 'buys')::int + contains(text, 'building')::int + contains(text, 'delivers')::int)), 9) as score
+from doc left join dot using (id) left join norm using (id), qn"""
+)
+def q_relevance(spark, sf):
+    return relevance.relevance(relevance.term_tables(nodes(spark, sf)), "buys building delivers").select("id", F.round("score", 9).alias("score"))
+
+
+@_query()
+def q_select_nodes(spark, sf):
+    graph = table_graph(spark, sf)
+    scored = relevance.relevance(relevance.term_tables(graph.nodes), "buys building delivers")
+    return relevance.select_nodes(graph, scored, 4000, 0.15, "# buys\n")
+
+
+@_query(_GRAPH + ", c as (select id from nodes where ord % 1000 < 40) select least(source, target) as a, greatest(source, target) as b, min(ord) as ord from edges where source in (from c) and target in (from c) group by all")
+def q_induced_edges(spark, sf):
+    chosen = nodes(spark, sf).where("ord % 1000 < 40")
+    return relevance.induced_edges(edges(spark, sf), chosen).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "ord")
+
+
+@_query(_GRAPH + "select target as start_id, source as node_id, target as parent_id, 1 as depth, row_number() over (partition by target order by ord) as pos from edges where relation = 'calls' and target in ('s0', 's1', 's2') qualify pos <= 50")
+def q_impact(spark, sf):
+    starts = nodes(spark, sf).where("id in ('s0', 's1', 's2')").select(F.col("id").alias("start_id"))
+    return impact.reverse_impact(edges(spark, sf), starts, 2, 50)
+
+
+@_query(_GRAPH + "select id, relation, count(*) as n, list(arrow || ' ' || label order by ord, arrow)[:15] as shown from (select source as id, relation, ord, '→' as arrow, target as other from edges union all select target, relation, ord, '←', source from edges where source <> target) e join (select id as other, label from nodes) using (other) where id in ('n1', 's1', 'r1') group by id, relation")
+def q_explain(spark, sf):
+    graph = table_graph(spark, sf)
+    return impact.neighbourhood(graph, graph.nodes.where("id in ('n1', 's1', 'r1')").select("id"))
+
+
+@_query(_GRAPH + "select community, count(*) as size, max_by(label, (centrality, -ord)) as name, array_to_string(list(label order by ord)[:3], ', ') as labels from (select *, ord % 7 as community, cast(ord % 11 as double) as centrality from nodes) group by community")
+def q_community_sizes(spark, sf):
+    return report.community_sizes(nodes(spark, sf).withColumn("community", F.col("ord") % 7).withColumn("centrality", (F.col("ord") % 11).cast("double")))
+
+
+@_query(_GRAPH + ", n as (select *, ord % 7 as community, cast(ord % 11 as double) as centrality from nodes), names as (select community, max_by(label, (centrality, -ord)) as name from n group by community) select a.label as source_label, relation, b.label as target_label, x.name as source_name, y.name as target_name from edges e join n a on a.id = source join n b on b.id = target join names x on x.community = a.community join names y on y.community = b.community where confidence = 'EXTRACTED' and a.community <> b.community order by e.ord limit 40")
+def q_surprises(spark, sf):
+    n = nodes(spark, sf).withColumn("community", F.col("ord") % 7).withColumn("centrality", (F.col("ord") % 11).cast("double"))
+    return report.surprises(g.Graph(n, edges(spark, sf)), 40).drop("ord")
+
+
+@_query(_GRAPH + "select id, degree, round(greatest(5.0, least(25.0, log2(degree + 2) * 8)), 9) as size, ord % 7 % 25 as colour from degrees where type <> 'file' order by degree desc, ord limit 1500")
+def q_view_nodes(spark, sf):
+    n = nodes(spark, sf).withColumn("community", F.col("ord") % 7)
+    return report.view_nodes(g.Graph(n, edges(spark, sf))).select("id", "degree", F.round("size", 9).alias("size"), "colour")
+
+
+@_query(_GRAPH + "select community, count(*) as size, min_by(label, ord) as label from (select *, ord % 97 as community from nodes) group by community order by size desc, community limit 50")
+def q_legend(spark, sf):
+    return report.legend(nodes(spark, sf).withColumn("community", F.col("ord") % 97))
+
+
+@_query("select regexp_replace(regexp_replace(url, '[\\\\/]', '_', 'g'), '\\.[^.]+\\z', '') || '_' || regexp_replace('page ' || page_id, '[^a-zA-Z0-9_$]', '_', 'g') as id, page_id from pages")
+def q_node_id(spark, sf):
+    return _t(spark, sf, "pages").select(fn.node_id("url", F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("id"), "page_id")
+
+
+@_query("select doc_id, left(sha256(coalesce(text, '')), 16) as hash, cast(ceil(len(text) / 4.0) as bigint) as tokens from documents")
+def q_content_hash(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.select("doc_id", fn.content_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"), fn.token_estimate("text").alias("tokens"))
+
+
+@_query("select method, uri, case when hit then 'references' end as relation, cls from (select case l_linenumber % 2 when 0 then 'GET' else 'HEAD' end as method, 'orders/' || l_orderkey || '/' || l_linenumber as uri, 'C' || l_suppkey as cls, l_suppkey % 2 = 0 as hit from lineitem where l_orderkey < 500) where method <> 'HEAD'")
+def q_routes(spark, sf):
+    li = _t(spark, sf, "lineitem").where("l_orderkey < 500")
+    routes = li.select(F.when(F.col("l_linenumber") % 2 == 0, "GET").otherwise("HEAD").alias("method"), F.concat_ws("/", F.lit("orders"), "l_orderkey", "l_linenumber").alias("uri"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("App\\C"), F.col("l_suppkey").cast("string"), F.lit("@show")).alias("action"), F.array().cast("array<string>").alias("middleware"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
+    methods = _t(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("C"), F.col("s_suppkey").cast("string"), F.lit(".show")).alias("label"), F.lit("method").alias("type"), F.col("s_suppkey").alias("ord"))
+    made, linked = resolve.link_routes(routes, methods)
+    hit = linked.where("target like 'm%'").select(F.col("source").alias("id"), "relation")
+    controllers = linked.where("target like 'controller_%'").select(F.col("source").alias("id"), F.expr("substring(target, 12)").alias("cls"))
+    rows = made.where("type = 'route'").join(hit, "id", "left").join(controllers, "id")
+    return rows.select(F.split("label", " ")[0].alias("method"), F.split("label", " ")[1].alias("uri"), "relation", "cls")
+
+
+@_query("with p as (select doc_id, regexp_extract_all(text, '([A-Za-z]+)') as w from documents) select cast(doc_id as varchar) as file, 'p' as prop, 'T' || doc_id as prop_type from p where doc_id % 3 = 0 union all select cast(doc_id as varchar), 'p', 'U' || doc_id from p where doc_id % 3 = 1 union all select cast(doc_id as varchar), 'p', 'W' || doc_id from p where doc_id % 3 = 2")
+def q_property_types(spark, sf):
+    """Typed declarations beat constructor parameters, which beat created objects."""
+    i = F.col("doc_id").cast("string")
+    created = F.concat(F.lit("$this->p = new W"), i, F.lit("();"))
+    params = F.concat(F.lit("function __construct(U"), i, F.lit(" $p) {}\n"), created)
+    typed = F.concat(F.lit("private T"), i, F.lit(" $p;\n"), params)
+    rows = _t(spark, sf, "documents").select(i.alias("file"), F.when(F.col("doc_id") % 3 == 0, typed).when(F.col("doc_id") % 3 == 1, params).otherwise(created).alias("content"))
+    return resolve.property_types(rows)
+
+
+@_query("select user_id, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as new from events)) group by user_id, s")
+def q_debounce(spark, sf):
+    bursts = watch.debounced(_t(spark, sf, "events"), "user_id", "1 hour")
+    return bursts.select("user_id", "n_events", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+@_query("select case when lang = 'en' then '.ts' else '.py' end as ext, count(*) as n_files from documents group by all")
+def q_files_by_extension(spark, sf):
+    return report.files_by_extension(_t(spark, sf, "documents").select(F.when(F.col("lang") == "en", ".ts").otherwise(".py").alias("ext")))
+
+
+@_query("select case when source = 'src0' then 'root' else source end as name, case when source = 'src0' then '' else source end as path from documents group by source")
+def q_projects(spark, sf):
+    d = _t(spark, sf, "documents").select("source").distinct()
+    rows = d.select(F.explode(F.array(F.concat(F.when(F.col("source") == "src0", "").otherwise(F.concat("source", F.lit("/"))), F.lit("package.json")), F.concat(F.when(F.col("source") == "src0", "").otherwise(F.concat("source", F.lit("/"))), F.lit("vite.config.ts")))).alias("path"))
+    return fs.projects(rows)
