@@ -108,6 +108,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.mark = (special[0][1].encode(), special[0][0]) if special else (None, -1)
         self.clear()
 
     def clear(self) -> None:
@@ -115,10 +117,25 @@ class ChunkEncoder:
         self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _ids(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of chunks. Many are encoded as one text with a special token of the vocabulary between them,
+        which the library cuts out before anything else; chunks that hold its name go one by one."""
+        made: list[np.ndarray | None] = [None] * len(chunks)
+        mark, number = self.mark
+        plain = [i for i, c in enumerate(chunks) if mark is not None and mark not in c]
+        if plain:
+            whole = self.tokenizer.encode((mark.join(chunks[i] for i in plain)).decode("utf-8", "replace"), add_special_tokens=False)
+            ids = np.array(whole.ids, np.uint32)
+            for i, part in zip(plain, np.split(ids, np.flatnonzero(ids == number))):
+                made[i] = part if i == plain[0] else part[1:]
+        rest = [i for i, m in enumerate(made) if m is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)):
+            made[i] = np.array(e.ids, np.uint32)
+        return made
+
     def _learn(self, chunks: list[bytes]) -> None:
-        made = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        for c, e in zip(chunks, made):
-            k, ids = len(self.known), e.ids
+        for c, ids in zip(chunks, self._ids(chunks)):
+            k = len(self.known)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             if k == len(self.starts):
@@ -133,8 +150,8 @@ class ChunkEncoder:
             self.clear()
         chunks = [t.split() for t in texts]
         new = list({c for cs in chunks for c in cs if c not in self.known})
-        for a in range(0, len(new), 20_000):
-            self._learn(new[a : a + 20_000])
+        for a in range(0, len(new), 4000):
+            self._learn(new[a : a + 4000])
         n = sum(map(len, chunks))
         which = np.fromiter((self.known[c] for cs in chunks for c in cs), np.int64, n)
         sizes = self.sizes[which]
