@@ -41,7 +41,7 @@ class Settings:
     tails: int = 40
     rows: int = 1 << 13
     rounds: int = 2
-    batch: int = 2048
+    batch: int = 4096
     rate: float = 0.15
     #: Words rarer than one in so many tokens enter features by their ending.
     rare: int = 40_000
@@ -151,10 +151,11 @@ class Corpus:
                     none = [None] * len(part)
                     yield _both([chunk] * len(part), none, none, range(a, a + len(part)), part, n[a : a + len(part)])
 
-        both = work.table(plain.mapInArrow(cut, "chunk long, docs binary, words binary, local int, word binary, n long"), "cut")
+        both = work.table(plain.mapInArrow(cut, "chunk long, docs binary, words binary, local int, word binary, n long"), "cut", compression="zstd")
         self.chunks = both.where("local is null").select("chunk", "docs", "words")
         local = both.where("local is not null").select("chunk", "local", "word", "n")
         counts = work.table(local.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+        work.release()
         tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
         top = counts.where(F.col("c") > 0).orderBy(F.desc("c"), "word").limit(s.heads).collect()
         head = {bytes(r.word).hex().upper(): i for i, r in enumerate(top)}
@@ -167,20 +168,39 @@ class Corpus:
         known = local.select("chunk", "local", "word").join(told, "word").select("chunk", "local", "c", "cls", "key")
         # A chunk's words come in pieces of bounded size; the chunk itself is one row of its own.
         sized = known.groupBy("chunk", F.floor(F.col("local") / 65536).cast("int").alias("piece")).agg(F.sort_array(F.collect_list(F.struct("local", "c", "cls", "key"))).alias("w"))
-        packed = sized.select("chunk", "piece", F.expr("transform(w, x -> x.c)").alias("c"), F.expr("transform(w, x -> x.cls)").alias("cls"), F.expr("transform(w, x -> x.key)").alias("key"))
+        packed = work.table(sized.select("chunk", "piece", F.expr("transform(w, x -> x.c)").alias("c"), F.expr("transform(w, x -> x.cls)").alias("cls"), F.expr("transform(w, x -> x.key)").alias("key")), "pieces", compression="zstd")
+        work.release()
         none = [F.lit(None).cast(t).alias(n) for n, t in (("c", "array<bigint>"), ("cls", "array<int>"), ("key", "array<bigint>"))]
         joint = self.chunks.select("chunk", F.lit(-1).alias("piece"), "docs", "words", *none).unionByName(packed.select("chunk", "piece", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("words"), "c", "cls", "key"))
-        self.ready = work.table(joint.repartition("chunk").sortWithinPartitions("chunk", "piece"), "ready")
+        # A row a chunk from here on, so that later passes read it where it lies.
+        self.ready = work.table(joint.repartition("chunk").sortWithinPartitions("chunk", "piece").mapInArrow(_joined, _READY), "ready", compression="zstd")
+        work.drop(both)
+        work.drop(packed)
         work.release()
-        self._dealt = self.ready.repartition("chunk").sortWithinPartitions("chunk", "piece")
 
     def map(self, kernel, schema: str) -> DataFrame:
-        """kernel(docs, words, counts, classes, keys) of every chunk, a record batch each."""
+        """kernel over (docs, words, counts, classes, keys) of every chunk."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from kernel(_assembled(batches))
+            yield from kernel(_chunk_rows(batches))
+
+        return self.ready.mapInArrow(run, schema)
+
+
+_READY = "docs binary, words binary, c binary, cls binary, key binary"
 
-        return self._dealt.mapInArrow(run, schema)
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for docs, words, c, cls, key in _assembled(batches):
+        values = (docs.tobytes(), words.astype("<i4").tobytes(), c.astype("<i8").tobytes(), cls.astype("u1").tobytes(), key.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({k.split()[0]: pa.array([v], pa.binary()) for k, v in zip(_READY.split(", "), values)})
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs, *rest = (batch.column(k)[i].as_py() for k in range(5))
+            yield unpack_docs(docs), *(np.frombuffer(x, t) for x, t in zip(rest, ("<i4", "<i8", "u1", "<i8")))
 
 
 def _both(chunk, docs, words, local, word, n) -> pa.RecordBatch:
@@ -240,14 +260,15 @@ def sgd(w: np.ndarray, speed: np.ndarray, rows: np.ndarray, cls: np.ndarray, s:
         r, c = rows[a : a + s.batch], cls[a : a + s.batch]
         g = _softmax(w, r)
         g[np.arange(len(c)), c] -= 1
-        flat = r.T.ravel()
+        # 16-bit keys are sorted by radix.
+        flat = r.T.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         at = flat[order]
         first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
         total = np.add.reduceat(g[order % len(c)], first)
         touched = at[first]
         total = np.concatenate([total, g.sum(axis=0, keepdims=True)])
-        touched = np.append(touched, 0)
+        touched = np.append(touched.astype(np.int64), 0)
         total /= len(c)
         speed[touched] += (total * total).mean(axis=1)
         w[touched] -= s.rate * total / (np.sqrt(speed[touched])[:, None] + 1e-4)
@@ -318,7 +339,7 @@ def score(corpus: Corpus, tables: Tables) -> DataFrame:
             ends = np.cumsum(docs["n"])
             base = np.log10((c + 1.0) / (t.tokens + 1.0 * (t.types + 1)))
             # Unseen words are together one word of the last class.
-            where = np.where(c > 0, cls, s.classes - 1)
+            where = np.where(c > 0, cls, s.classes - 1).astype(np.int64)
             size = t.class_tokens + t.class_types + (np.arange(s.classes) == s.classes - 1)
             inner = np.log10((c + 1.0) / np.maximum(size, 1)[where])
             rows, y = feature_rows(words, ends, key, s), where[words]
