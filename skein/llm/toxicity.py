@@ -4,8 +4,8 @@ A word's vector is the mean of hashed embeddings of the word and of its characte
 unseen misspelling shares most of its vector with the word it comes from. A window of words is the
 weighted mean of its word vectors (common words weigh less), and a linear softmax over two labels
 reads it; embeddings and softmax are trained together by Adam in numpy. Toxic words are few among
-many, so windows, not whole documents, are averaged: first all windows of a document carry its
-label, then only the one that the model finds worst, for toxic and for clean documents. A
+many, so windows, not whole documents, are averaged: first windows drawn from all carry their
+document's label, then only the one that the model finds worst, for toxic and for clean documents. A
 document's logit is that of its worst window, placed on the probability scale by a logistic fit on
 training documents that were held back from the embeddings.
 
@@ -16,6 +16,7 @@ every distinct word, and a document costs a lookup a word and a running sum.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,9 @@ class Settings:
     window: int = 4
     #: Words of this share of all words count half.
     common: float = 5e-4
-    #: Steps over all windows, then over each document's worst.
+    #: Steps over windows drawn from all, then over each document's worst window.
     warm: int = 8
+    warm_windows: int = 60_000
     epochs: int = 90
     rate: float = 0.02
     decay: float = 1e-5
@@ -104,31 +106,37 @@ class Model:
         return self.__dict__ | {"known": {}}
 
 
-def _fit(s: Settings, words: list[list[bytes]], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[bytes, float]]:
-    vocabulary: dict[bytes, int] = {}
-    chunks, owner = [], []
-    for d, ws in enumerate(words):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
-        for i in range(0, max(1, len(ids) - s.window // 2), max(1, s.window // 2)):
-            chunks.append(ids[i : i + s.window])
-            owner.append(d)
-    size = np.array([len(c) for c in chunks])
-    token, start, doc = np.array([i for c in chunks for i in c]), _segments(size), np.array(owner)
+def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[bytes, float]]:
+    half = max(1, s.window // 2)
+    counts = [max(1, -(-(len(w) - half) // half)) for w in words]
+    doc = np.repeat(np.arange(len(words)), counts)
+    begin = np.concatenate([np.arange(n) * half for n in counts])
+    size = np.minimum(s.window, np.array([len(w) for w in words])[doc] - begin)
+    place = np.concatenate([[0], np.cumsum([len(w) for w in words])])[doc] + begin
+    token = np.concatenate(words)[_spread(place, size)].astype(np.int32)
+    start = _segments(size)
     share = np.bincount(token, minlength=len(vocabulary)) / len(token)
     damp = (s.common / (s.common + share)).astype(np.float32)
-    bags = [subwords(w, s) for w in vocabulary]
-    bag_size = np.array([len(b) for b in bags], np.float32)
-    bag, bag_start = np.array([i for b in bags for i in b]), _segments(bag_size)
-    bag_end = bag_start + bag_size.astype(int)
+    flat, sizes = array("i"), []
+    for w in vocabulary:
+        flat.extend(own := subwords(w, s))
+        sizes.append(len(own))
+    bag, bag_size = np.array(flat, np.int32), np.array(sizes, np.float32)
+    bag_start = _segments(bag_size)
     first = np.searchsorted(doc, np.arange(len(words)))
     rng = np.random.default_rng(7)
     params = [rng.normal(0, 0.1, (s.buckets, s.dims)).astype(np.float32), rng.normal(0, 0.5, (s.dims, 2)).astype(np.float32), np.zeros(2, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, s.warm + s.epochs + 1):
         e, u, b = params
-        vec = np.add.reduceat(e[bag], bag_start) / bag_size[:, None] * damp[:, None]
+        vec = np.empty((len(vocabulary), s.dims), np.float32)
+        for i in range(0, len(vocabulary), 20_000):
+            j = min(len(vocabulary), i + 20_000)
+            last = len(bag) if j == len(vocabulary) else bag_start[j]
+            vec[i:j] = np.add.reduceat(e[bag[bag_start[i] : last]], bag_start[i:j] - bag_start[i])
+        vec *= (damp / bag_size)[:, None]
         if step <= s.warm:
-            use = np.arange(len(chunks))
+            use = np.sort(rng.permutation(len(doc))[: s.warm_windows])
         else:
             logits = np.add.reduceat((vec @ (u[:, 1] - u[:, 0]))[token], start)
             order = np.lexsort((logits, doc))
@@ -152,8 +160,7 @@ def _fit(s: Settings, words: list[list[bytes]], label: np.ndarray) -> tuple[np.n
             v[k] = 0.99 * v[k] + 0.01 * d * d
             params[k] = (params[k] - s.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     common = np.flatnonzero(damp < 0.98)
-    names = list(vocabulary)
-    return params[0], params[1], params[2], {names[i]: float(damp[i]) for i in common}
+    return params[0], params[1], params[2], {vocabulary[i]: float(damp[i]) for i in common}
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,17 +185,18 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
         return Model(s, np.zeros((s.buckets, 1)), np.zeros((1, 2)), np.zeros(2), None, 0.0, float(np.log(share / (1 - share))))
-    words = [tox_words(t)[: s.words_a_row] for t in texts]
+    vocabulary: dict[bytes, int] = {}
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tox_words(t)[: s.words_a_row]], np.int32) for t in texts]
     # Every fourth row of each label places the logits; the others train the embeddings.
     turn = np.zeros(len(y), np.int64)
     for value in (0, 1):
         turn[y == value] = np.arange(int((y == value).sum())) % 4
-    has = np.array([bool(w) for w in words])
+    has = np.array([len(w) > 0 for w in words])
     fit = has & ((turn != 3) | (min((y == 0).sum(), (y == 1).sum()) < 8))
     rows = np.flatnonzero(fit)
     if len(rows) == 0 or len(set(y[rows])) < 2:
         rows = np.flatnonzero(has)
-    made = Model(s, *_fit(s, [words[i] for i in rows], y[rows]))
+    made = Model(s, *_fit(s, list(vocabulary), [words[i] for i in rows], y[rows]))
     held = np.flatnonzero(turn == 3) if (turn == 3).any() and len(set(y[turn == 3])) == 2 else np.arange(len(y))
     made.scale, made.shift = _place(np.array([made.logit(texts[i]) for i in held]), y[held])
     made.known = {}
