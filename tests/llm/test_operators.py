@@ -8,7 +8,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow.dataset as pads
 import pytest
 
 from skein.llm import decontam, linededup, lshforest, maxent, tokenfile, toolcalls, topk, toxicity, unigram, warc
@@ -30,11 +29,6 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def texts():
-    t = pads.dataset(f"{DATA}/documents.parquet").to_table()
-    return dict(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()))
-
-
 def low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
@@ -165,7 +159,7 @@ def test_token_files(spark):
 
 
 def test_language_model(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select((-1 * odd(spark).doc_id).alias("doc_id"), "text") if False else odd(spark).selectExpr("doc_id + 10000 as doc_id", "text"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).selectExpr("doc_id + 10000 as doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     split = lambda t: [*space_words((t or "").encode()), b"\n"]
