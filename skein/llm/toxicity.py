@@ -129,20 +129,20 @@ def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], label: n
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, s.warm + s.epochs + 1):
         e, u, b = params
-        vec = np.empty((len(vocabulary), s.dims), np.float32)
-        for i in range(0, len(vocabulary), 20_000):
-            j = min(len(vocabulary), i + 20_000)
-            last = len(bag) if j == len(vocabulary) else bag_start[j]
-            vec[i:j] = np.add.reduceat(e[bag[bag_start[i] : last]], bag_start[i:j] - bag_start[i])
-        vec *= (damp / bag_size)[:, None]
         if step <= s.warm:
             use = np.sort(rng.permutation(len(doc))[: s.warm_windows])
         else:
-            logits = np.add.reduceat((vec @ (u[:, 1] - u[:, 0]))[token], start)
-            order = np.lexsort((logits, doc))
-            use = order[np.concatenate([first[1:], [len(doc)]]) - 1]
+            # Linear, so a window's logit needs one number a word; vectors are made for chosen windows alone.
+            flat = np.add.reduceat((e @ (u[:, 1] - u[:, 0]))[bag], bag_start) * (damp / bag_size)
+            logits = np.add.reduceat(flat[token], start)
+            worst = np.flatnonzero(logits == np.maximum.reduceat(logits, first)[doc])
+            use = np.empty(len(first), np.int64)
+            use[doc[worst]] = worst
         y = label[doc[use]]
         t, row = token[_spread(start[use], size[use])], np.repeat(np.arange(len(use)), size[use])
+        seen, t = np.unique(t, return_inverse=True)
+        at = bag[_spread(bag_start[seen], bag_size[seen].astype(int))]
+        vec = np.add.reduceat(e[at], _segments(bag_size[seen])) * (damp / bag_size)[seen, None]
         mean = np.add.reduceat(vec[t], _segments(size[use])) / s.window
         z = mean @ u + b
         p = 1 / (1 + np.exp(-np.clip(z[:, 1] - z[:, 0], -30, 30)))
@@ -150,9 +150,7 @@ def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], label: n
         g = ((p - y) * balance).astype(np.float32)
         dz = np.stack([-g, g], axis=1)
         dm = dz @ u.T / s.window
-        seen, t = np.unique(t, return_inverse=True)
         dvec = np.stack([np.bincount(t, dm[row, k], len(seen)) for k in range(s.dims)], axis=1) * (damp / bag_size)[seen, None]
-        at = bag[_spread(bag_start[seen], bag_size[seen].astype(int))]
         back = np.repeat(np.arange(len(seen)), bag_size[seen].astype(int))
         de = np.stack([np.bincount(at, dvec[back, k], s.buckets) for k in range(s.dims)], axis=1)
         for k, d in enumerate((de + s.decay * e, mean.T @ dz + s.decay * u, dz.sum(axis=0))):
