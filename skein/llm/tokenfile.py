@@ -14,9 +14,11 @@ its documents; a task holds only offsets.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,18 @@ class EliasFano:
         return ((at - i) << self.low_bits) | int(self._low_of(np.array([i]))[0])
 
 
+class _Numbers(dict):
+    """chunk -> its number in order of first use; ``new`` has those not learnt yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = k = len(self)
+        self.new.append(chunk)
+        return k
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each white-space-delimited chunk once.
 
@@ -102,64 +116,57 @@ class ChunkEncoder:
     ASCII white space only; any other stays within its chunk for the library to judge.
     """
 
-    LIMIT = 300_000
+    LIMIT = 600_000
+    GROUP = 100
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
-        self.mark = (special[0][1].encode(), special[0][0]) if special else (None, -1)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _ids(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """Ids of chunks. Many are encoded as one text with a special token of the vocabulary between them,
-        which the library cuts out before anything else; chunks that hold its name go one by one."""
-        made: list[np.ndarray | None] = [None] * len(chunks)
-        mark, number = self.mark
-        plain = [i for i, c in enumerate(chunks) if mark is not None and mark not in c]
-        if plain:
-            whole = self.tokenizer.encode((mark.join(chunks[i] for i in plain)).decode("utf-8", "replace"), add_special_tokens=False)
-            ids = np.array(whole.ids, np.uint32)
-            for i, part in zip(plain, np.split(ids, np.flatnonzero(ids == number))):
-                made[i] = part if i == plain[0] else part[1:]
-        rest = [i for i, m in enumerate(made) if m is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)):
-            made[i] = np.array(e.ids, np.uint32)
-        return made
+        self.used = self.learned = 0
 
     def _learn(self, chunks: list[bytes]) -> None:
-        for c, ids in zip(chunks, self._ids(chunks)):
-            k = len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k == len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k], self.known[c] = self.used, len(ids), k
-            self.used += len(ids)
+        """Encodes chunks in groups joined by spaces; where a token starts tells the chunk it is of."""
+        words = [c.decode("utf-8", "replace") for c in chunks]
+        groups = [words[a : a + self.GROUP] for a in range(0, len(words), self.GROUP)]
+        made = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        sizes = []
+        for group, e in zip(groups, made):
+            first = np.cumsum([0] + [len(w) + 1 for w in group[:-1]])
+            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))
+            sizes.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(group)))
+        ids, size = np.array([i for e in made for i in e.ids], np.uint32), np.concatenate(sizes)
+        k, m = self.learned, len(chunks)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + m > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[k : k + m], self.sizes[k : k + m] = self.used + np.cumsum(size) - size, size
+        self.used, self.learned = self.used + len(ids), k + m
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids end to end, number of ids of each text)."""
         if len(self.known) > self.LIMIT:
             self.clear()
-        chunks = [t.split() for t in texts]
-        new = list({c for cs in chunks for c in cs if c not in self.known})
-        for a in range(0, len(new), 4000):
-            self._learn(new[a : a + 4000])
-        n = sum(map(len, chunks))
-        which = np.fromiter((self.known[c] for cs in chunks for c in cs), np.int64, n)
+        parts = [t.split() for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        known = self.known
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        for a in range(0, len(known.new), 4000):
+            self._learn(known.new[a : a + 4000])
+        known.new.clear()
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if n else 0
+        total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        per = np.zeros(len(texts), np.int64)
-        np.add.at(per, np.repeat(np.arange(len(texts)), [len(c) for c in chunks]), sizes)
+        upto = np.concatenate([[0], ends])[np.cumsum(counts)]
+        per = np.diff(upto, prepend=0)
         return ids, per
 
 
@@ -168,6 +175,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def encoder_of(path: str) -> ChunkEncoder:
     """The worker's encoder, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores; the library's threads would only wait on each other
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
