@@ -138,9 +138,10 @@ class ChunkEncoder:
         sizes = []
         for group, e in zip(groups, made):
             first = np.cumsum([0] + [len(w) + 1 for w in group[:-1]])
-            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))
+            spans = e.offsets
+            at = np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans))[::2]
             sizes.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(group)))
-        ids, size = np.array([i for e in made for i in e.ids], np.uint32), np.concatenate(sizes)
+        ids, size = np.fromiter(chain.from_iterable(e.ids for e in made), np.uint32), np.concatenate(sizes)
         k, m = self.learned, len(chunks)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
