@@ -80,10 +80,12 @@ class SimilarLines:
 
     def _sets(self, lines: DataFrame) -> DataFrame:
         """A row for each distinct set: h, n, b, prefix, toks and its earliest line; bucketed by h."""
-        coded = lines.withColumn("levels", F.lit(bytearray(rarity(lines))))
-        coded = coded.withColumn("s", F.expr(f"sort_array(transform(toks, t -> shiftleft(cast(ascii(cast(substring(levels, cast(pmod(t, {_BUCKETS}) as int) + 1, 1) as string)) as bigint), 56) | (t & 72057594037927935)))"))
-        rows = coded.select("doc_id", "th", "line", F.xxhash64("s").alias("h"), F.expr("aggregate(s, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))").alias("b"), F.array_min("toks").alias("k1"), F.array_max("toks").alias("k2"), "s")
-        firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), *(F.first(c).alias(c) for c in ("b", "k1", "k2", "s")))
+        # One literal array, folded once, of each bucket's byte in place above a hash's 56 bits.
+        levels = F.split(F.lit(" ".join(str(x << 56) for x in rarity(lines))), " ").cast("array<bigint>")
+        coded = lines.select("doc_id", "th", "line", F.array_min("toks").alias("k1"), F.array_max("toks").alias("k2"), F.sort_array(F.transform("toks", lambda t: F.get(levels, t.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1))))).alias("s"))
+        rows = coded.withColumn("h", F.xxhash64("s"))
+        firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), *(F.first(c).alias(c) for c in ("k1", "k2", "s")))
+        firsts = firsts.withColumn("b", F.expr("aggregate(s, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))"))
         out = firsts.select("h", F.size("s").alias("n"), "b", "k1", "k2", "s", "at.doc_id", "at.th", "at.line")
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         out.write.bucketBy(buckets, "h").sortBy("h").option("path", self.work.folder("sets")).option("compression", "zstd").format("parquet").saveAsTable(self.name)
