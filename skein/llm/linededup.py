@@ -5,8 +5,9 @@ as 64-bit hashes. Lines are ordered by (doc_id, text hash, line number), nulls f
 any earlier line has a token set with Jaccard similarity of at least ``percent`` / 100. Lines without
 tokens stay.
 
-1.  Line table: tokens of every line, written once.
-2.  Rarity: counts over 65,536 hash buckets of all tokens, rounded to a byte each. Ordering tokens by
+1.  Tokens of every line; they are made where they are used, as a table of them would be larger than
+    the documents.
+2.  Rarity: counts over 65,536 hash buckets of all words, rounded to a byte each. Ordering tokens by
     (bucket's count, hash) is a total order that is the same for all lines, which is all the prefix
     filter needs to be exact; rarer tokens first makes it selective.
 3.  Equal sets become one entry with its earliest line.
@@ -41,13 +42,14 @@ def line_tokens(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "th", "line", toks.alias("toks")).where(F.size("toks") > 0)
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """A byte below 128 for each hash bucket, about 4 log2 of the tokens in it."""
-    counted = lines.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(_BUCKETS)).alias("k")).count().collect()
+def rarity(docs: DataFrame) -> list[int]:
+    """A byte below 128 for each hash bucket, about 4 log2 of the words in it, over all documents."""
+    words = docs.select(F.explode(F.split(F.lower(F.translate(F.col("text").cast("string"), "\t\x0b\f\r\n", "     ")), " ", -1)).alias("w")).where("w <> ''")
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("k")).count().collect()
     counts = np.zeros(_BUCKETS)
     for k, n in counted:
         counts[k] = n
-    return np.minimum(127, np.round(4 * np.log2(1 + counts))).astype(np.uint8).tobytes()
+    return np.minimum(127, np.round(4 * np.log2(1 + counts))).astype(int).tolist()
 
 
 def _pair_filter(percent: int) -> str:
@@ -65,13 +67,11 @@ class SimilarLines:
     def kept(self) -> DataFrame:
         """(doc_id, th, line) of all lines with tokens that stay."""
         w = self.work
-        lines = w.table(line_tokens(self.docs), "lines", compression="zstd")
         self.name = f"skein_sets_{uuid.uuid4().hex}"
-        sets = self._sets(lines)
-        w.drop(lines)
+        sets = self._sets(line_tokens(self.docs))
         w.release()
-        settled = w.table(self._verified(self._crowd_pairs(sets), sets), "settled")
-        found = w.table(self._verified(self._prefix_pairs(sets, settled), sets), "found")
+        settled = self._settled(self._crowd_pairs(sets), sets, "settled")
+        found = self._settled(self._prefix_pairs(sets, settled), sets, "found")
         gone = settled.unionByName(found).distinct()
         kept = w.table(sets.select("h", "doc_id", "th", "line").join(gone, "h", "left_anti").select("doc_id", "th", "line"), "kept")
         self.spark.sql(f"drop table {self.name}")
@@ -81,7 +81,7 @@ class SimilarLines:
     def _sets(self, lines: DataFrame) -> DataFrame:
         """A row for each distinct set: h, n, b, prefix, toks and its earliest line; bucketed by h."""
         # One literal array, folded once, of each bucket's byte in place above a hash's 56 bits.
-        levels = F.split(F.lit(" ".join(str(x << 56) for x in rarity(lines))), " ").cast("array<bigint>")
+        levels = F.split(F.lit(" ".join(str(x << 56) for x in rarity(self.docs))), " ").cast("array<bigint>")
         coded = lines.select("doc_id", "th", "line", F.array_min("toks").alias("k1"), F.array_max("toks").alias("k2"), F.sort_array(F.transform("toks", lambda t: F.get(levels, t.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1))))).alias("s"))
         rows = coded.withColumn("h", F.xxhash64("s"))
         firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), *(F.first(c).alias(c) for c in ("k1", "k2", "s")))
@@ -112,6 +112,20 @@ class SimilarLines:
         pairs = rows.alias("x").join(rows.alias("y"), F.expr(cond)).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"))
         return pairs.distinct()
 
+    def _settled(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """h of each x similar to an earlier y. One y of each x is tried before all others, so that few
+        token sets meet more than one; shuffles of each step are dropped before the next."""
+        w = self.work
+        pairs = w.table(pairs, f"{name}-pairs")
+        w.release()
+        one = w.table(pairs.groupBy("x").agg(F.min("y").alias("y")), f"{name}-one")
+        first = w.table(self._verified(one, sets), f"{name}-first")
+        w.release()
+        open_pairs = pairs.join(first.select(F.col("h").alias("x")), "x", "left_anti").join(one, ["x", "y"], "left_anti")
+        rest = w.table(self._verified(open_pairs, sets), f"{name}-rest")
+        w.release()
+        return first.unionByName(rest)
+
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """h of each x that is similar to an earlier y."""
         side = lambda c: sets.select(F.col("h").alias(c), F.col("s").alias(f"{c}_toks"), F.struct("doc_id", "th", "line").alias(f"{c}_at"))
