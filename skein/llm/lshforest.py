@@ -224,8 +224,18 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(("node", "root", "shingles"), (pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))))))
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            made = [text_shingles(text or b"", k) for text in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "shingles"])
+
     wanted = regions.join(nodes.select("node", "doc_id"), "node")
-    members = work.table(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "root", "text").mapInArrow(sets, "node long, root long, shingles binary"), "members")
+    found = docs.select("doc_id", "text").join(wanted.where("doc_id is not null"), "doc_id").select("node", "root", "text").mapInArrow(sets, "node long, root long, shingles binary")
+    if not nodes.where("doc_id is null").isEmpty():
+        # Nodes without any id are met by their key, made again from the texts of rows without an id.
+        without = docs.where("doc_id is null").select("text").mapInArrow(keyed, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        found = found.unionByName(without.join(wanted.where("doc_id is null"), "node").select("node", "root", "shingles"))
+    members = work.table(found, "members")
     work.release()
     heads = members.where("node = root").select("root", F.col("shingles").alias("head"))
 

@@ -293,6 +293,25 @@ def test_near_groups(spark):
     assert lshforest.near_groups(odd(spark)).count() == len(ODD)
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(120)]
+        texts += [" ".join(base[:j] + [f"x{g}y{j}"] + base[j + 1 :]) for j in rng.sample(range(120), 5)]
+    key = [lshforest.set_key(lshforest.text_shingles(t.encode(), 2)) for t in texts]
+    # In every group the least node has no id; in half of them only one row has one, in two none has.
+    rows = []
+    for g in range(12):
+        order = sorted(range(5 * g, 5 * g + 5), key=key.__getitem__)
+        rows += [(None if n == 0 or g >= 10 or (g % 2 and n < 4) else 100 * g + n, texts[i], g) for n, i in enumerate(order)]
+    rows += [(None, rows[0][1], 0), (None, "alone without id", 99)]
+    got = lshforest.near_groups(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    least = {g: min((i for i, _, h in rows if h == g and i is not None), default=None) for _, _, g in rows}
+    count = lambda x: collections.Counter(x)
+    assert count((r.doc_id, r.component_id, r.kept) for r in got) == count((i, least[g], i == least[g]) for i, _, g in rows)
+
+
 def test_deep_runs():
     rng = np.random.default_rng(1)
     n = 3 * lshforest.DENSE
