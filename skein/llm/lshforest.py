@@ -2,23 +2,23 @@
 
 1.  Every text becomes its set of shingles, a 64-bit key of the set, and 160 min-hashes. Equal sets
     are one node from here on.
-2.  Each of 32 trees orders all nodes by its own eight min-hashes. Orders are range-partitioned, so
-    a dense stretch spreads over tasks. Rows with a common prefix of at least five hashes form a run;
-    within it rows whose one-bit sketches are close enough are candidates. A run longer than
-    ``DENSE`` is cut at its next deeper hash, again and again, and its parts stay tied through rows
-    close to the first of the run: depth adapts to how crowded a region is.
+2.  Each of 32 trees orders all nodes by its own min-hashes. Orders are range-partitioned, so a dense
+    stretch spreads over tasks. Rows with a common prefix of five hashes form a run; all rows of a run
+    whose one-bit sketches are close enough are joined, however long the run is: within a task by
+    growing components until no open row is close, across tasks against the run's least node, and what
+    isn't close to that against the whole run, in blocks of bounded size.
 3.  Candidates join nodes to regions (connected components). The full sets of a region's nodes are
     held against its least node's; what isn't linked to it is held against all of the region, in
     blocks of bounded size, by an inverted index over a block.
 4.  Components of the confirmed links are the groups of near-duplicates.
 
 At similarity 0.8 a tree puts a pair into a run with probability 0.8^5, so all trees miss it with
-probability (1 - 0.8^5)^32 = 2.7e-6; the sketch bound lies six standard deviations off.
+probability (1 - 0.8^5)^32 = 2.7e-6, in runs of any length; the sketch bound lies six standard deviations off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ TREES, BASE, DEPTH = 32, 5, 8
 HASHES = TREES * BASE
 DENSE = 512
 _HALF = 256
+#: Rows of a cut run in a block, and sketch pairs compared at a time.
+_BLOCK, _PAIRS = 4096, 1 << 22
 _words = WordHashes()
 
 _SIGNED = "doc_id long, node long, n_shingles long, minhash binary"
@@ -96,33 +98,45 @@ class Links(dict):
         return a != b
 
 
-def run_links(path: np.ndarray, node: np.ndarray, sketch: np.ndarray, limit: int, links: Links, depth: int = BASE) -> None:
-    """Unites rows of a run (sorted by path, alike in the first ``depth`` steps) whose sketches are close."""
-    n = len(node)
-    if n < 2:
-        return
-    if n <= DENSE or depth == DEPTH:
-        # Beyond the deepest step: pieces in sorted order, each overlapping the one before.
-        for a in range(0, n, DENSE // 2):
-            part = slice(a, min(n, a + DENSE))
-            x, y = np.nonzero(np.bitwise_count(sketch[part, None] ^ sketch[None, part]).sum(axis=2) <= limit)
+def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """(len(x), len(y)) whether sketches are close."""
+    far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    for k in range(1, x.shape[1]):
+        far = far + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    return far <= limit
+
+
+def run_links(path: np.ndarray, node: np.ndarray, sketch: np.ndarray, limit: int, links: Links) -> None:
+    """Unites all rows of each run (rows sorted by path, alike in ``BASE`` steps) whose sketches are close."""
+    cuts = [0, *(np.flatnonzero((path[1:, :BASE] != path[:-1, :BASE]).any(axis=1)) + 1).tolist(), len(node)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a < 2:
+            continue
+        if b - a <= DENSE:
+            x, y = np.nonzero(_near(sketch[a:b], sketch[a:b], limit))
             for i, j in zip(x[x < y].tolist(), y[x < y].tolist()):
                 links.unite(int(node[a + i]), int(node[a + j]))
-            if a + DENSE >= n:
-                break
-        return
-    # The first row stands for the whole run; parts that differ in the next step go deeper.
-    first = int(node.argmin())
-    for i in np.flatnonzero(np.bitwise_count(sketch ^ sketch[first]).sum(axis=1) <= limit):
-        links.unite(int(node[first]), int(node[i]))
-    cuts = [0, *(np.flatnonzero(path[1:, depth] != path[:-1, depth]) + 1).tolist(), n]
-    for a, b in zip(cuts, cuts[1:]):
-        run_links(path[a:b], node[a:b], sketch[a:b], limit, links, depth + 1)
+            continue
+        # Components grow from one row each: every row meets all rows that are still open.
+        rest = np.arange(a, b)
+        while len(rest) > 1:
+            seed, front, rest = int(node[rest[0]]), rest[:1], rest[1:]
+            while len(front) and len(rest):
+                at, reached = 0, []
+                while at < len(front) and len(rest):
+                    step = max(1, _PAIRS // len(rest))
+                    near = _near(sketch[front[at : at + step]], sketch[rest], limit).any(axis=0)
+                    reached.append(rest[near])
+                    rest = rest[~near]
+                    at += step
+                front = np.concatenate(reached)
+                for i in front.tolist():
+                    links.unite(seed, int(node[i]))
 
 
 def tree_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links among a task's sorted tree rows: (a, b) with b the least node of a's. Rows at the task's
-    ends, whose run may go on in another task, also come as (a, null, run, sketch)."""
+    """Links among a task's sorted tree rows: (a, b) with b the least node of a's. Rows of the task's first
+    and last run, which may go on in another task, also come as (a, b, run, sketch)."""
     links, ends = Links(), []
     held: list[tuple[np.ndarray, ...]] = []
     first = True
@@ -135,12 +149,13 @@ def tree_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
         cut = np.flatnonzero((tree[1:] != tree[:-1]) | (path[1:, :BASE] != path[:-1, :BASE]).any(axis=1)) + 1
         cuts = [0, *cut.tolist(), len(tree)]
         stop = len(cuts) - 1 if last else len(cuts) - 2
-        for k in range(stop):
+        turns = [0, *(np.flatnonzero(tree[1 : cuts[stop]] != tree[: max(0, cuts[stop] - 1)]) + 1).tolist(), cuts[stop]]
+        for a, b in zip(turns, turns[1:]):
+            run_links(path[a:b], node[a:b], sketch[a:b], limit, links)
+        for k in {k for k, end in ((0, first), (stop - 1, last)) if stop and end}:
             part = slice(cuts[k], cuts[k + 1])
-            run_links(path[part], node[part], sketch[part], limit, links)
-            if (first and k == 0) or (last and k == stop - 1):
-                for i in {part.start, part.stop - 1}:
-                    ends.append((int(node[i]), bytes([int(tree[i])]) + path[i, :BASE].tobytes(), sketch[i].tobytes()))
+            run = bytes([int(tree[part.start])]) + path[part.start, :BASE].tobytes()
+            ends.extend((n, run, x.tobytes()) for n, x in zip(node[part].tolist(), sketch[part]))
         if stop:
             first = False
         held = [tuple(x[cuts[stop] :] for x in (tree, path, node, sketch))] if not last else []
@@ -155,7 +170,7 @@ def tree_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
                 close(False)
                 size = 0
     close(True)
-    out = [(a, r, None, None) for a in links if (r := links.find(a)) != a] + [(a, None, run, s) for a, run, s in ends]
+    out = [(a, r, None, None) for a in links if (r := links.find(a)) != a] + [(a, links.find(a), run, s) for a, run, s in ends]
     for i in range(0, len(out), 50_000):
         a, b, run, s = zip(*out[i : i + 50_000])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "run": pa.array(run, pa.binary()), "sketch": pa.array(s, pa.binary())})
@@ -202,14 +217,27 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array([p.tobytes() for p in paths.reshape(n * TREES, DEPTH)], pa.binary()), pa.array(np.repeat(part.column(0).to_numpy(), TREES)), pa.array([m for m in marks for _ in range(TREES)], pa.binary())], names=["tree", "path", "node", "sketch"])
 
     nodes = work.table(nodes, "nodes")
+    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     trees = nodes.select("node", "minhash").mapInArrow(plant, _TREE).repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    found = work.table(trees.mapInArrow(lambda b: tree_links(b, limit), "a long, b long, run binary, sketch binary"), "candidates")
+    found = trees.mapInArrow(lambda b: tree_links(b, limit), "a long, b long, run binary, sketch binary")
+    found = work.table(found.withColumn("part", F.when(F.col("run").isNotNull(), F.spark_partition_id())), "candidates")
     work.release()
-    # Runs cut by a task's end: a few rows a task, tied to the least of their run.
-    ends = found.where("b is null")
-    heads = ends.groupBy("run").agg(F.min_by(F.struct("a", "sketch"), "a").alias("h")).select("run", F.col("h.a").alias("b"), F.col("h.sketch").alias("other"))
-    tied = ends.drop("b").join(heads, "run").where("a <> b").mapInArrow(lambda b: _close(b, limit), "a long, b long")
-    regions = work.table(components(found.where("b is not null").select("a", "b").unionByName(tied), work), "regions")
+    # Runs cut by a task's end, at most one a task: what isn't close to the run's least node meets all of the run.
+    ends = found.where("run is not null")
+    heads = ends.groupBy("run").agg(F.min_by(F.struct("a", "sketch"), "a").alias("h"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    cut = ends.join(F.broadcast(heads.select("run", F.col("h.a").alias("head"), F.col("h.sketch").alias("other"))), "run")
+    cut = work.table(cut.select("run", "a", "b", "head", "sketch", "other").mapInArrow(lambda b: _close(b, limit), "run binary, node long, grp long, linked boolean, sketch binary"), "cut")
+    size = cut.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("linked"), 1)).alias("u")).where("u > 0")
+    size = size.select("run", F.ceil(F.col("m") / _BLOCK).cast("int").alias("nm"), F.ceil(F.col("u") / _BLOCK).cast("int").alias("nl"))
+    state = cut.join(F.broadcast(size), "run")
+    left = state.where("not linked").select("run", spread("nl", 1).alias("lb"), every("nm").alias("mb"), F.lit(0).alias("side"), "node", "grp", "sketch")
+    right = state.select("run", every("nl").alias("lb"), spread("nm", 2).alias("mb"), F.lit(1).alias("side"), "node", "grp", "sketch")
+    keys = ("run", "lb", "mb")
+    dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
+    across = dealt.mapInArrow(lambda b: _compare(b, lambda x, y: sketch_links(x, y, limit)), "a long, b long")
+    tied = cut.where("linked and node <> grp").select(F.col("node").alias("a"), F.col("grp").alias("b"))
+    regions = work.table(components(found.where("run is null").select("a", "b").unionByName(tied).unionByName(across), work), "regions")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -252,33 +280,47 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
     state = members.join(checked.select("node", "linked"), "node", "left").join(blocks, "root")
     rest = F.coalesce(F.col("node") != F.col("root"), F.lit(False)) & ~F.coalesce(F.col("linked"), F.lit(False))
     group = F.when(F.col("linked"), F.col("root")).otherwise(F.col("node"))
-    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = work.table(state.select("root", "nm", "nl", "node", group.alias("grp"), rest.alias("rest"), "shingles"), "open")
     left = base.where("rest").select("root", spread("nl", 1).alias("lb"), every("nm").alias("mb"), F.lit(0).alias("side"), "node", "grp", "shingles")
     right = base.select("root", every("nl").alias("lb"), spread("nm", 2).alias("mb"), F.lit(1).alias("side"), "node", "grp", "shingles")
     keys = ("root", "lb", "mb")
     dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
-    more = dealt.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
+    more = dealt.mapInArrow(lambda b: _compare(b, lambda x, y: block_links(x, y, percent)), "a long, b long")
     links = checked.where("linked").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return components(work.table(links, "links"), work)
 
 
+def sketch_links(left: list[tuple[int, int, np.ndarray]], right: Iterator[tuple[int, int, np.ndarray]], limit: int) -> list[tuple[int, int]]:
+    """Links (group, group) between a block of sketches and a stream of sketches, as many as join groups."""
+    import itertools
+
+    x, links, out = np.stack([s for _, _, s in left]), Links(), []
+    group = np.array([g for _, g, _ in left])
+    for piece in itertools.batched(right, max(1, _PAIRS // len(left))):
+        near = _near(x, np.stack([s for _, _, s in piece]), limit)
+        for j, (_, g, _) in enumerate(piece):
+            out += [(h, g) for h in np.unique(group[near[:, j]]).tolist() if links.unite(h, g)]
+        group = np.array([links.find(g) for g in group.tolist()])
+    return out
+
+
 def _close(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of cut runs; what is close to the run's head is in its group."""
     for batch in batches:
-        rows = [(r["a"], r["b"]) for r in batch.to_pylist() if np.bitwise_count(np.frombuffer(r["sketch"], np.uint64) ^ np.frombuffer(r["other"], np.uint64)).sum() <= limit]
-        if rows:
-            a, b = zip(*rows)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if batch.num_rows:
+            run, a, b, head, sketch, other = batch.columns
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (sketch, other))
+            linked = np.bitwise_count(x ^ y).sum(axis=1) <= limit
+            yield pa.RecordBatch.from_arrays([run, a, pa.array(np.where(linked, head.to_numpy(), b.to_numpy())), pa.array(linked), sketch], names=["run", "node", "grp", "linked", "sketch"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks (equal root, lb, mb; side 0 before 1) one after another."""
+def _compare(batches: Iterator[pa.RecordBatch], links: Callable[[list, Iterator], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Blocks (equal run or root, lb, mb; side 0 before 1) one after another."""
     import itertools
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("root", "lb", "mb", "side", "node", "grp", "shingles")))
+            yield from zip(*(c.to_pylist() for c in batch.columns))
 
     out: list[tuple[int, int]] = []
     for _, block in itertools.groupby(rows(), key=lambda r: r[:3]):
@@ -291,7 +333,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 right = itertools.chain([r], block)
                 break
         if right is not None:
-            out += block_links(left, ((r[4], r[5], np.frombuffer(r[6], np.uint64)) for r in right), percent)
+            out += links(left, ((r[4], r[5], np.frombuffer(r[6], np.uint64)) for r in right))
         if len(out) > 20_000:
             a, b = zip(*out)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

@@ -320,3 +320,44 @@ def test_deep_runs():
     links = lshforest.Links()
     lshforest.run_links(path, np.arange(n), np.zeros((n, 3), np.uint64), 10, links)
     assert {links.find(i) for i in range(n)} == {0}
+
+
+def crowd(n, seed=3):
+    """n unlike rows that share their first eight steps, with pairs (i, i + n // 2) of 30 of 160 bits apart for i < 40."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(0, 2, (n, 192), np.uint8)
+    bits[:, 160:] = 0
+    for i in range(40):
+        bits[n // 2 + i] = bits[i]
+        bits[n // 2 + i, rng.permutation(160)[:30]] ^= 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def test_dense_run_is_compared_whole():
+    n = 6000
+    links = lshforest.Links()
+    lshforest.run_links(np.zeros((n, lshforest.DEPTH), ">u2"), np.arange(n), crowd(n), lshforest.sketch_limit(0.8), links)
+    assert all(links.find(i) == links.find(n // 2 + i) for i in range(40))
+    assert len({links.find(i) for i in range(n)}) > n - 100
+
+
+def test_dense_run_across_tasks(spark, monkeypatch):
+    # All rows share every min-hash's path, so each tree is one run, which tasks' ends cut; blocks are small.
+    monkeypatch.setattr(lshforest, "_BLOCK", 300, raising=False)
+    monkeypatch.setattr(lshforest, "paths_of", lambda least: np.zeros((1, 8), ">u2"))
+    monkeypatch.setattr(lshforest, "TREES", 1)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{i}_{j}" for j in range(60)) for i in range(900)]
+    for i in range(30):
+        words = texts[i].split()
+        for j in rng.sample(range(60), 2):
+            words[j] = f"other{i}_{j}"
+        texts[450 + i] = " ".join(words)
+    # As many tasks as shuffle partitions, whatever the size of the table.
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in lshforest.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    assert got == {i: i - 450 if 450 <= i < 480 else i for i in range(900)}
