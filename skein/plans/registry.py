@@ -114,21 +114,17 @@ def q_merge(spark, sf):
 
 @_query()
 def q_file_ranking(spark, sf):
-    graph = table_graph(spark, sf)
-    return g.file_ranking(g.Graph(graph.nodes.withColumn("centrality", F.lit(0.0)), graph.edges), 40).drop("ord")
+    return g.file_ranking(table_graph(spark, sf), 40).drop("ord")
 
 
 @_query()
 def q_centrality(spark, sf):
-    graph = table_graph(spark, sf)
-    small = g.Graph(graph.nodes.where("id not like 'c%'"), graph.edges.where("relation <> 'calls' and target not like 'c%'"))
-    return g.centrality(small).select("id", "centrality")
+    return g.centrality(table_graph(spark, sf)).select("id", "centrality")
 
 
 @_query()
 def q_communities(spark, sf):
-    graph = table_graph(spark, sf)
-    return g.communities(g.Graph(graph.nodes.where("id not like 'c%'"), graph.edges.where("relation <> 'calls' and target not like 'c%'"))).select("id", "community")
+    return g.communities(table_graph(spark, sf)).select("id", "community")
 
 
 @_query()

@@ -1,11 +1,14 @@
 """Graph construction, ranking and queries on two small fixtures with known values."""
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import graph as g
 from skein.operators import impact, relevance
 from skein.operators.graph import EDGE_SCHEMA, NODE_SCHEMA
+from skein.plans import registry
 
 SMALL = [("mod_a", "moduleA", "file", "a.ts"), ("a_login", "login", "function", "a.ts"), ("a_validate", "validate", "function", "a.ts"), ("mod_b", "moduleB", "file", "b.ts"), ("b_process", "process", "function", "b.ts")]
 SMALL_EDGES = [("mod_a", "a_login", "contains"), ("mod_a", "a_validate", "contains"), ("a_login", "a_validate", "calls"), ("mod_b", "b_process", "contains"), ("b_process", "a_login", "calls")]
@@ -88,3 +91,42 @@ def test_find_target(spark):
     assert impact.find_target(n, "login").first().id == "b"
     assert impact.find_target(n, "Auth").first().id == "a"
     assert impact.find_target(n, "none").count() == 0
+
+
+def test_registered_ranking_takes_the_whole_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    nodes, edges = registry.nodes(spark, sf).collect(), registry.edges(spark, sf).collect()
+    near = {r.id: {} for r in nodes}
+    for e in edges:
+        for a, b in ((e.source, e.target), (e.target, e.source)):
+            near[a][b] = min(e.ord, near[a].get(b, e.ord))
+    score, n = {i: 1 / len(near) for i in near}, len(near)
+    for _ in range(100):
+        new = {i: 0.15 / n + 0.85 * sum(score[j] / len(near[j]) for j in near[i]) for i in near}
+        moved, score = sum(abs(new[i] - score[i]) for i in near), new
+        if moved < n * 1e-6:
+            break
+    central = {r.id: r.centrality for r in registry.QUERIES["centrality"](spark, sf).collect()}
+    assert central.keys() == score.keys() and all(abs(central[i] - score[i]) < 5.01e-4 for i in score)
+
+    order = [r.id for r in sorted(nodes, key=lambda r: r.ord)]
+    label = {i: k for k, i in enumerate(order)}
+    for _ in range(50):
+        changed = False
+        for i in order:
+            votes = collections.Counter(label[j] for j, _ in sorted(near[i].items(), key=lambda x: (x[1], x[0])))
+            votes.pop(label[i], None)
+            if votes:
+                label[i], changed = max(votes, key=votes.__getitem__), True
+        if not changed:
+            break
+    number = {}
+    want = {i: number.setdefault(label[i], len(number) + 1) for i in order}
+    assert {r.id: r.community for r in registry.QUERIES["communities"](spark, sf).collect()} == want
+
+    inside = collections.defaultdict(list)
+    for r in sorted(nodes, key=lambda r: (-central[r.id], r.ord)):
+        if r.type != "file":
+            inside[r.source_file].append(r.label)
+    ranked = registry.QUERIES["file_ranking"](spark, sf).collect()
+    assert len(ranked) == 30 and all(r.symbols == inside[r.source_file][:6] for r in ranked)
