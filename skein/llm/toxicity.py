@@ -52,13 +52,31 @@ class Settings:
 _TABLE = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
 
+#: Bytes of the longest word; longer runs give pieces that overlap by half.
+_LONG = 64
+
+
 def tox_words(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).decode("utf-8", "replace").lower().encode().split()
+    words = text.translate(_TABLE).decode("utf-8", "replace").lower().encode().split()
+    if max(map(len, words), default=0) <= _LONG:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= _LONG else _pieces(w))]
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    """Overlapping pieces of a long run, as of scripts without spaces; no character is split."""
+    edge = lambda i: next(j for j in range(i, -1, -1) if j >= len(word) or word[j] & 0xC0 != 0x80)
+    out, a, b = [], 0, 0
+    while b < len(word):
+        b = edge(min(len(word), a + _LONG))
+        out.append(word[a:b])
+        a = edge(a + _LONG // 2)
+    return out
 
 
 def subwords(word: bytes, s: Settings) -> list[int]:
     """Buckets of a word and its n-grams; grams are of bytes of <word>."""
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     out = [zlib.crc32(w) % s.buckets]
     for n in s.grams:
         out += [zlib.crc32(w[i : i + n]) % s.buckets for i in range(len(w) - n + 1)]

@@ -254,6 +254,22 @@ def test_toxicity():
     assert 0 <= toxicity.train([], []).score(b"") <= 1 and 0 <= model.score(b"") <= 1 and toxicity.train([b"a"], [0]).score(b"a") < 0.7
 
 
+def test_toxicity_reads_long_runs():
+    for run in ("字" * 500, "aé😀" * 200, "x" * 65, "x" * 64):
+        pieces = toxicity.tox_words(run.encode())
+        assert all(len(p) <= 64 and p.decode() for p in pieces)
+        # Every place is read: each run of eight characters stands whole in a piece.
+        assert all(any(run[i : i + 8].encode() in p for p in pieces) for i in range(len(run) - 7))
+    assert pieces == [b"x" * 64]
+    rng = random.Random(7)
+    plain = [f"{a}{b}" for a in "ka lo mi ne".split() for b in "ra to vu sel dor".split()]
+    rows = [(" ".join([*rng.choices(plain, k=20), *["scumbag"] * (i % 2)]).encode(), i % 2) for i in range(300)]
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows], toxicity.Settings(epochs=40))
+    head = "".join(rng.choices(plain, k=60))
+    assert model.logit((head + "scumbag" + head).encode()) > model.logit((head + head).encode()) + 1e-3
+    assert model.logit((head + "scumbag").encode()) > model.logit(head.encode()) + 1e-3
+
+
 def test_toxicity_rows(spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (5, 0, 0), (7, 0, 0), (None, 0, 1), (8, 0, None)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd(spark), labels).collect()
