@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 _TEST_PATH = r"(?i)(^|[\\/])tests?[\\/]|\.test\.|\.spec\."
 #: Words of a question that alone never lift a label.
-STOP_WORDS = ("the", "how", "does", "what", "where", "when", "which", "who", "why", "and", "for", "with", "from", "into", "this", "that", "are", "was", "can", "use")
+STOP_WORDS = (
+    "get", "set", "put", "add", "new", "list", "show", "find", "use",
+    "with", "from", "into", "what", "how", "the", "for", "and", "are",
+    "all", "any", "this", "that", "route", "routes", "file", "files",
+)
 
 
 def col(c: Column | str) -> Column:

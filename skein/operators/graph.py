@@ -187,6 +187,29 @@ def import_graph_json(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, with_ends(edges, nodes)
 
 
+def write_graph_json(graph: Graph, path: str) -> None:
+    """One JSON document {nodes, edges, directed} at path: rows stream to the driver's writer one at a time.
+
+    For graphs that another tool is to read; node_lines() is the form that grows."""
+    import json
+
+    names = {"source_file": "sourceFile", "source_location": "sourceLocation", "confidence_score": "confidenceScore", "call_context": "callContext"}
+    jvm, conf = graph.nodes.sparkSession.sparkContext._jvm, graph.nodes.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(conf).create(place, True)
+    put = lambda text: out.write(bytearray(text.encode()))
+    try:
+        put('{"directed":' + json.dumps(graph.directed))
+        for name, rows in (("nodes", graph.nodes), ("edges", graph.edges)):
+            put(f',"{name}":[')
+            for i, r in enumerate(rows.orderBy("ord").drop("ord").toLocalIterator()):
+                put("," * (i > 0) + json.dumps({names.get(k, k): v for k, v in r.asDict().items() if v is not None}, ensure_ascii=False))
+            put("]")
+        put("}")
+    finally:
+        out.close()
+
+
 def node_lines(graph: Graph) -> DataFrame:
     """JSON lines of nodes, then edges: a graph document without gathering it in one row."""
     n = graph.nodes.select(F.lit("node").alias("kind"), "ord", F.to_json(F.struct("*")).alias("value"))

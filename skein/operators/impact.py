@@ -13,10 +13,10 @@ FOLLOWED = ("calls", "references")
 
 def find_target(nodes: DataFrame, name: str) -> DataFrame:
     """At most one node. An exact label first (calls, files, fields and namespaces don't count); else of
-    the labels that contain the name, a dotted code entity, unless nothing but others matched before."""
+    the labels that contain the name, a dotted one of a method, class or function, else the first."""
     usable = ~F.col("type").isin("call", "file", "field", "namespace")
     has = F.contains("label", F.lit(name))
-    dotted = has & usable & F.contains("label", F.lit("."))
+    dotted = has & F.col("type").isin("method", "class", "function") & F.contains("label", F.lit("."))
     rank = F.when((F.col("label") == name) & usable, 0).when(dotted, 1).when(has, 2)
     return nodes.withColumn("rank", rank).where("rank is not null").orderBy("rank", "ord").limit(1).drop("rank")
 
@@ -47,10 +47,9 @@ def reverse_impact(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: i
     return out
 
 
-def class_methods(graph: Graph, target_file: str, label: str) -> DataFrame:
-    """Starts for a class without dependents of its own: the methods of its file named after it."""
-    methods = graph.nodes.where((F.col("type") == "method") & (F.col("source_file") == target_file) & F.startswith("label", F.lit(f"{label}.")))
-    return methods.orderBy("ord").select(F.col("id").alias("start_id"))
+def class_methods(graph: Graph, target_file: str) -> DataFrame:
+    """Starts for a class without dependents of its own: the methods of its file."""
+    return graph.nodes.where((F.col("type") == "method") & (F.col("source_file") == target_file)).select(F.col("id").alias("start_id"))
 
 
 def tree_lines(rows: list, labels: dict[str, str]) -> list[str]:
@@ -77,13 +76,27 @@ def explain_match(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("label"), needle) | F.contains(F.lower("id"), needle)).orderBy("ord").limit(1)
 
 
+def incident(graph: Graph, ids: DataFrame) -> DataFrame:
+    """Edges of each id with an arrow, the other end's id, label and type, and the edge's confidence."""
+    e = graph.edges
+    out = e.join(ids, e["source"] == ids["id"]).select("id", "relation", "confidence", "ord", F.lit("→").alias("arrow"), F.col("target").alias("other"))
+    back = e.where("source <> target").join(ids, F.col("target") == ids["id"]).select("id", "relation", "confidence", "ord", F.lit("←").alias("arrow"), F.col("source").alias("other"))
+    return out.unionByName(back).join(graph.nodes.select(F.col("id").alias("other"), "label", "type"), "other")
+
+
+def details(graph: Graph, ids: DataFrame, shown: int = 15) -> DataFrame:
+    """id, relation, n, first, shown: as neighbourhood(), with type and confidence on each line; first: where a relation begins."""
+    named = incident(graph, ids)
+    line = F.concat(F.col("arrow"), F.lit(" **"), F.col("label"), F.lit("** ("), F.col("type"), F.lit(") _"), F.col("confidence"), F.lit("_"))
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("id", "relation").orderBy("ord", "arrow")))
+    few = ranked.where(F.col("r") <= shown).groupBy("id", "relation").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]).alias("shown"))
+    return named.groupBy("id", "relation").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).join(few, ["id", "relation"])
+
+
 def neighbourhood(graph: Graph, ids: DataFrame, shown: int = 15) -> DataFrame:
     """id, relation, n, shown: incident edges of each id by relation, the first ``shown`` with arrow and
     label. Two equi-joins stand for source = id or target = id; a self-loop counts once."""
-    e = graph.edges
-    out = e.join(ids, e["source"] == ids["id"]).select("id", "relation", "ord", F.lit("→").alias("arrow"), F.col("target").alias("other"))
-    back = e.where("source <> target").join(ids, F.col("target") == ids["id"]).select("id", "relation", "ord", F.lit("←").alias("arrow"), F.col("source").alias("other"))
-    named = out.unionByName(back).join(graph.nodes.select(F.col("id").alias("other"), "label"), "other")
+    named = incident(graph, ids)
     ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("id", "relation").orderBy("ord", "arrow")))
     counts = named.groupBy("id", "relation").agg(F.count(F.lit(1)).alias("n"))
     few = ranked.where(F.col("r") <= shown).groupBy("id", "relation").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat_ws(" ", "arrow", "label").alias("t")))), lambda x: x["t"]).alias("shown"))

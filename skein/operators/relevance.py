@@ -1,7 +1,7 @@
 """Ranked, token-budgeted subgraph queries.
 
 Term statistics are tables that can be kept between questions; a question joins its few terms to
-them. Selection is a fold over the ranked nodes and their ranked neighbours in one array: a node
+them. Selection is a fold over the ranked nodes and their ranked neighbours, read in blocks: a node
 that once failed to fit never fits later, so only its first occurrence matters.
 """
 
@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import STOP_WORDS, token_estimate, words_of
 from skein.operators.graph import Graph, first_by
+from skein.operators.iterate import dense_rank, settle
+
+#: Ranked nodes that are read at a time until a question's budget is spent.
+_BLOCK = 4096
 
 
 @dataclass
@@ -24,6 +28,14 @@ class TermTables:
     terms: DataFrame
     idf: DataFrame
 
+    def save(self, path: str) -> None:
+        for name in ("docs", "terms", "idf"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TermTables:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "idf")))
+
 
 def term_tables(nodes: DataFrame) -> TermTables:
     # Words of label, description and type, in that order.
@@ -65,30 +77,38 @@ def relevance(tables: TermTables, question: str) -> DataFrame:
 
 
 def node_text(prefix: str = "") -> F.Column:
+    """A node's block in an answer, with the blank line after it; its format is fixed, as its size counts."""
     c = lambda n: F.col(f"{prefix}{n}")
-    where = F.when(c("source_location").isNotNull(), F.format_string(" (centrality: %.3f)", F.coalesce(c("centrality"), F.lit(0.0)))).otherwise(F.lit(""))
-    return F.concat(F.lit("### "), c("label"), F.lit(" ["), c("type"), F.lit("]"), where, F.when(c("description").isNotNull(), F.concat(F.lit("\n"), c("description"))).otherwise(F.lit("")), F.lit("\nFile: "), c("source_file"), F.lit("\n"))
+    text = lambda x: F.coalesce(x, F.lit(""))
+    where = F.when(c("source_location").isNotNull(), F.format_string(" · centrality: %.2f", F.coalesce(c("centrality"), F.lit(0.0)))).otherwise(F.lit(""))
+    return F.concat(F.lit("### "), text(c("label")), F.lit(" ("), text(c("type")), F.lit(")"), where, text(F.concat(F.lit("\n"), c("description"))), F.lit("\n→ File: "), text(c("source_file")), text(F.concat(F.lit(" "), c("source_location"))), F.lit("\n\n"))
+
+
+def header_cost(header: str) -> int:
+    """Tokens of an answer's header: a quarter of its UTF-16 units, rounded up."""
+    return -(-len(header.encode("utf-16-be")) // 8)
 
 
 def select_nodes(graph: Graph, scored: DataFrame, budget: int = 4000, min_score: float = 0.15, header: str = "") -> DataFrame:
     """pos, id, cost of the chosen nodes: ranked order with one hop of ranked neighbours, until 0.9 of the
     budget is used; a node that would pass 0.95 of it is skipped."""
     nodes = graph.nodes if "centrality" in graph.nodes.columns else graph.nodes.withColumn("centrality", F.lit(None).cast("double"))
-    ranked = scored.where(F.col("score") >= min_score).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "ord")))
+    ranked = dense_rank(scored.where(F.col("score") >= min_score).withColumn("less", -F.col("score")), ["less", "ord"], "r").drop("less")
     hops = ranked.select(F.col("id").alias("at"), "r").join(graph.adjacency().withColumnRenamed("id", "at"), "at").select("r", (F.col("nbr_ord") + 1).alias("k"), F.col("nbr").alias("id"))
     near = hops.join(ranked.select("id"), "id", "left_semi")
     steps = first_by(ranked.select("r", F.lit(0).cast("long").alias("k"), "id").unionByName(near), [F.col("id")], [F.col("r"), F.col("k")])
     costs = steps.join(nodes, "id").select("r", "k", "id", token_estimate(node_text()).alias("cost"))
-    used = -(-len(header.encode("utf-16-be")) // 8)
-    # A node costs a token at least, so no more rows than the budget has tokens can be tried with effect
-    # on what is chosen, apart from skipped ones; the array holds the ranked part of one question.
-    sequence = F.array_sort(F.collect_list(F.struct("r", "k", "id", "cost")))
-    fold = F.aggregate(
-        "seq",
-        F.struct(F.lit(used).cast("long").alias("used"), F.array().cast("array<struct<id:string,cost:bigint>>").alias("chosen")),
-        lambda acc, x: F.when((acc["used"] >= 0.9 * budget) | (acc["used"] + x["cost"] > 0.95 * budget), acc).otherwise(F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["chosen"], F.array(F.struct(x["id"].alias("id"), x["cost"].alias("cost")))).alias("chosen"))),
-    )
-    return costs.agg(sequence.alias("seq")).select(fold.alias("f")).select(F.posexplode("f.chosen").alias("pos", "c")).select("pos", "c.id", "c.cost")
+    used = header_cost(header)
+    # The sequence is read in blocks of bounded size, as far as the budget goes; the chosen cost a token each at least.
+    placed = settle(dense_rank(costs, ["r", "k"], "at").select("at", "id", "cost"))
+    total, done, chosen = placed.count(), 0, []
+    while done < total and used < 0.9 * budget:
+        for row in placed.where((F.col("at") > done) & (F.col("at") <= done + _BLOCK)).orderBy("at").collect():
+            if used < 0.9 * budget and used + row["cost"] <= 0.95 * budget:
+                used += row["cost"]
+                chosen.append((len(chosen), row["id"], row["cost"]))
+        done += _BLOCK
+    return graph.nodes.sparkSession.createDataFrame(chosen, "pos int, id string, cost long")
 
 
 def select_deep(graph: Graph, scored: DataFrame, budget: int = 4000, depth: int = 5, width: int = 3, header: str = "") -> list[str]:
@@ -112,7 +132,7 @@ def select_deep(graph: Graph, scored: DataFrame, budget: int = 4000, depth: int
     nodes = graph.nodes if "centrality" in graph.nodes.columns else graph.nodes.withColumn("centrality", F.lit(None).cast("double"))
     known = set(around) | {n for v in around.values() for n in v}
     costs = {r["id"]: r["cost"] for r in nodes.where(F.col("id").isin(list(known) or [""])).select("id", token_estimate(node_text()).alias("cost")).collect()}
-    used, visited, chosen = -(-len(header.encode("utf-16-be")) // 8), set(), []
+    used, visited, chosen = header_cost(header), set(), []
 
     def visit(i: str, level: int) -> None:
         nonlocal used

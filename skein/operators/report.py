@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import token_estimate
-from skein.operators.graph import Graph, file_ranking, first_by
+from skein.operators.graph import Graph, file_ranking
 
-#: Paths that the file map leaves out.
-MAP_SKIPPED = ("/vendor/", "/node_modules/", "/storage/", "/dist/", "/build/", "/tests/", "/migrations/", "/config/", "/lang/")
+#: Patterns of paths that the file map leaves out.
+MAP_SKIPPED = (r"^tests?/", r"^__tests__/", r"\.test\.", r"\.spec\.", r"fixtures", r"node_modules", r"package\.json", r"tsconfig", r"\.config\.")
 
 
 def files_by_extension(files: DataFrame) -> DataFrame:
@@ -42,8 +42,7 @@ def surprises(graph: Graph, shown: int = 10) -> DataFrame:
 def file_map(graph: Graph, limit: int = 50, budget: int = 1500) -> DataFrame:
     """Ranked files with symbols until the budget is spent; the first that doesn't fit ends the map."""
     rows = file_ranking(graph, limit)
-    for part in MAP_SKIPPED:
-        rows = rows.where(~F.contains(F.concat(F.lit("/"), F.translate("source_file", "\\", "/")), F.lit(part)))
+    rows = rows.where(~F.coalesce(F.col("source_file"), F.lit("")).rlike("|".join(MAP_SKIPPED)))
     line = F.concat(F.lit("- "), F.col("source_file"), F.when(F.size("symbols") > 0, F.concat(F.lit(": "), F.array_join("symbols", ", "))).otherwise(F.lit("")))
     order = Window.orderBy(F.desc("score"), "ord")
     return rows.withColumn("line", line).withColumn("used", F.sum(token_estimate("line")).over(order)).where(F.col("used") <= budget).select("source_file", "score", "line", "used")
@@ -68,11 +67,22 @@ def legend(nodes: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def questions(graph: Graph, most: int = 8) -> list[str]:
-    """Suggested questions from the busiest entities and the imports."""
+    """Suggested questions from the busiest entities, the two largest communities and the imports. The wording is fixed."""
     top = [r["label"] for r in graph.top_nodes(3).collect()]
-    out = [f"What depends on {t}?" for t in top] + [f"How does {t} work?" for t in top]
+    out = []
+    if len(top) > 1:
+        out.append(f"How does **{top[0]}** connect to **{top[1]}**?")
+    if top:
+        out.append(f"What calls **{top[0]}** and what does it depend on?")
+    if "community" in graph.nodes.columns:
+        own = graph.nodes.where("community is not null").groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("first"), F.min_by("label", "ord").alias("label"))
+        pair = [r["label"] for r in own.orderBy(F.desc("size"), "first").limit(2).collect()]
+        if len(pair) == 2:
+            out.append(f"Trace the data flow between **{pair[0]}** and **{pair[1]}**")
     if graph.edges.where("relation = 'imports'").limit(6).count() > 5:
-        out.append("Which modules import each other the most?")
+        out.append("Which modules have the most dependencies?")
+    out.append(f"Show me the architecture of the `{top[0] if top else 'main'}` subsystem")
+    out.append("What is the most heavily connected module in the codebase?")
     return out[:most]
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.porter import stem
@@ -37,6 +37,14 @@ class TextIndex:
         docs = nodes.select(F.col("id").alias("doc"), "label", "type", F.col("source_file").alias("file"), "description", "ord").join(sizes, "doc", "left").withColumn("size", F.coalesce("size", F.lit(0)))
         return cls(docs, postings)
 
+    def save(self, path: str) -> None:
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextIndex:
+        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """doc, label, type, file, description, rank; the smallest rank (minus BM25) first."""
         tree = parse(query)

@@ -81,9 +81,9 @@ def _query(sql: str | None = None):
     return add
 
 
-@_query(_GRAPH + "select id, nbr, nbr_ord from adj where id like 's%'")
+@_query(_GRAPH + "select id, nbr, nbr_ord from adj")
 def q_adjacency(spark, sf):
-    return table_graph(spark, sf).adjacency().where("id like 's%'")
+    return table_graph(spark, sf).adjacency()
 
 
 @_query(_GRAPH + "select id, label, type, degree from degrees order by degree desc, ord limit 25")
@@ -96,28 +96,56 @@ def q_graph_stats(spark, sf):
     return table_graph(spark, sf).stats()
 
 
-@_query(_GRAPH + "select source, target, relation from edges where relation <> 'calls' and source in (select id from nodes where ord < 1000000 and id <> 'n3') and target in (select id from nodes where id <> 'n3' and id <> 'r1')")
+@_query(_GRAPH + "select source, target, relation from edges where source not in ('n3', 'r1') and target not in ('n3', 'r1')")
 def q_build_edges(spark, sf):
     """Edges whose two ends exist, after two nodes went."""
     n, e = nodes(spark, sf), edges(spark, sf)
-    return g.Graph.from_extraction(n.where("id not in ('n3', 'r1')"), e.where("relation <> 'calls'")).edges.select("source", "target", "relation")
+    return g.Graph.from_extraction(n.where("id not in ('n3', 'r1')"), e).edges.select("source", "target", "relation")
 
 
-@_query(_GRAPH + "select least(source, target) as a, greatest(source, target) as b, relation, min(ord) as first_ord from edges where relation = 'contains' group by all")
+@_query(_GRAPH + "select least(source, target) as a, greatest(source, target) as b, relation, min(ord) as first_ord from edges group by all")
 def q_merge(spark, sf):
     """A graph merged with the reverse of its own edges gains nothing."""
-    n, e = nodes(spark, sf), edges(spark, sf).where("relation = 'contains'")
+    n, e = nodes(spark, sf), edges(spark, sf)
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"), *e.columns[2:])
     merged = g.Graph(n, e).merge(n, back)
     return merged.edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "relation", F.col("ord").alias("first_ord"))
 
 
-@_query()
+def _ranked(name: str, ids: str, arcs: str) -> str:
+    """Power iteration over arcs (src, dst) of ids (id), until it moves less than a millionth a node: name (id, score, k)."""
+    return f"""
+{name}_size as (select count(*) as n from {ids}),
+{name}_arcs as (select src, dst, 0.85::double / count(*) over (partition by src) as share from {arcs}),
+{name}_all as (
+    select id, 1.0::double / n as score, 0 as k, 1e9::double as moved from {ids}, {name}_size
+    union all
+    select id, score, k, sum(abs(score - old)) over () from (
+        select r.id, r.score as old, r.k + 1 as k, (1 - 0.85::double) / n + coalesce(got, 0) as score
+        from {name}_all r cross join {name}_size
+        left join (select dst, sum(score * share) as got from {name}_all join {name}_arcs on src = id group by dst) s on dst = r.id
+        where r.moved >= n * 1e-6 and r.k < 100)),
+{name} as (select id, score from {name}_all where k = (select max(k) from {name}_all))"""
+
+
+_CENTRAL = _GRAPH.replace("with nodes", "with recursive nodes") + ", steps as (select id as src, nbr as dst from adj)," + _ranked("pagerank", "nodes", "steps") + ", central as (select id, floor(score * 1000 + 0.5) / 1000 as centrality from pagerank)"
+
+
+@_query(
+    _CENTRAL
+    + """, owner as (select source_file, min_by(id, ord) as file_id from nodes where type = 'file' group by source_file),
+home as (select id, file_id from nodes join owner using (source_file)), files as (select id from nodes where type = 'file'),
+lifted as (select distinct a.file_id as src, b.file_id as dst from edges join home a on a.id = source join home b on b.id = target where relation = 'imports' and a.file_id <> b.file_id),"""
+    + _ranked("filerank", "files", "lifted")
+    + """, inside as (select source_file, list(label order by centrality desc, ord)[:6] as symbols from nodes join central using (id) where type <> 'file' group by source_file)
+select source_file, floor(score * 1000 + 0.5) / 1000 as score, coalesce(symbols, []) as symbols
+from filerank join nodes using (id) left join inside using (source_file) order by filerank.score desc, ord limit 40"""
+)
 def q_file_ranking(spark, sf):
     return g.file_ranking(table_graph(spark, sf), 40).drop("ord")
 
 
-@_query()
+@_query(_CENTRAL + "select id, centrality from central")
 def q_centrality(spark, sf):
     return g.centrality(table_graph(spark, sf)).select("id", "centrality")
 
@@ -127,9 +155,18 @@ def q_communities(spark, sf):
     return g.communities(table_graph(spark, sf)).select("id", "community")
 
 
-@_query()
+def _propagated(rounds: int) -> str:
+    out = ", l0 as (select id, ord as label from nodes)"
+    for k in range(rounds):
+        votes = f"select adj.id, label, count(*) as n from adj join l{k} l on l.id = nbr group by all"
+        out += f", l{k + 1} as materialized (select l.id, coalesce(best, l.label) as label from l{k} l left join (select id, max_by(label, (n, -label)) as best from ({votes}) group by id) using (id))"
+    return out + f" select id, label as community from l{rounds}"
+
+
+@_query(_GRAPH + _propagated(10))
 def q_label_propagation(spark, sf):
-    return g.label_propagation(table_graph(spark, sf), 3).select("id", "community")
+    """Ten rounds, or fewer where nothing moves any more."""
+    return g.label_propagation(table_graph(spark, sf), 10).select("id", "community")
 
 
 _WORDS = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[^a-zA-Z0-9]+'), lambda x: lower(x)), lambda x: len(x) > 1)"""
@@ -165,9 +202,9 @@ def q_select_nodes(spark, sf):
     return relevance.select_nodes(graph, scored, 4000, 0.15, "# buys\n")
 
 
-@_query(_GRAPH + ", c as (select id from nodes where ord % 1000 < 40) select least(source, target) as a, greatest(source, target) as b, min(ord) as ord from edges where source in (from c) and target in (from c) group by all")
+@_query(_GRAPH + ", c as (select id from nodes where type in ('file', 'building', 'class')) select least(source, target) as a, greatest(source, target) as b, min(ord) as ord from edges where source in (from c) and target in (from c) group by all")
 def q_induced_edges(spark, sf):
-    chosen = nodes(spark, sf).where("ord % 1000 < 40")
+    chosen = nodes(spark, sf).where("type in ('file', 'building', 'class')")
     return relevance.induced_edges(edges(spark, sf), chosen).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "ord")
 
 
@@ -216,27 +253,46 @@ def q_content_hash(spark, sf):
     return d.select("doc_id", fn.content_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"), fn.token_estimate("text").alias("tokens"))
 
 
-@_query("select method, uri, case when hit then 'references' end as relation, cls from (select case l_linenumber % 2 when 0 then 'GET' else 'HEAD' end as method, 'orders/' || l_orderkey || '/' || l_linenumber as uri, 'C' || l_suppkey as cls, l_suppkey % 2 = 0 as hit from lineitem where l_orderkey < 500) where method <> 'HEAD'")
+_ROUTES = r"""
+with r as (
+    select ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + cast(round(100 * l_extendedprice) as bigint) % 1000 as ord, case l_linenumber % 2 when 0 then 'GET' else 'HEAD' end as method,
+        case l_returnflag when 'R' then '_' else '' end || 'orders/' || l_orderkey || '/' || l_linenumber as uri,
+        case l_linestatus when 'O' then 'orders.' || l_orderkey end as name, case cast(l_quantity as int) % 7 when 0 then ['auth', 'web'] else [] end as middleware,
+        case cast(l_quantity as int) % 5 when 0 then 'Closure' when 1 then 'App\C' || l_suppkey else 'App\C' || l_suppkey || '@show' end as action, 'C' || l_suppkey as cls, l_suppkey
+    from lineitem),
+k as (select *, row_number() over (order by ord) as n, method || ' /' || uri as label from r where method <> 'HEAD' and not starts_with(uri, '_') and action <> 'Closure'),
+i as (select *, 'route_' || n || '_' || regexp_replace(label, '[^a-zA-Z0-9_]', '_', 'g') as id from k)
+select id, label, case when name is not null then 'name: ' || name end as source_location,
+    case when len(middleware) > 0 then 'middleware: ' || array_to_string(middleware, ', ') end as description,
+    case when contains(action, '@') then 'route_controller_' || cls end as controller, case when contains(action, '@') and s_acctbal > 0 then 'm' || l_suppkey end as method
+from i join supplier on s_suppkey = l_suppkey"""
+
+
+@_query(_ROUTES)
 def q_routes(spark, sf):
-    li = _t(spark, sf, "lineitem").where("l_orderkey < 500")
-    routes = li.select(F.when(F.col("l_linenumber") % 2 == 0, "GET").otherwise("HEAD").alias("method"), F.concat_ws("/", F.lit("orders"), "l_orderkey", "l_linenumber").alias("uri"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("App\\C"), F.col("l_suppkey").cast("string"), F.lit("@show")).alias("action"), F.array().cast("array<string>").alias("middleware"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
-    methods = _t(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("C"), F.col("s_suppkey").cast("string"), F.lit(".show")).alias("label"), F.lit("method").alias("type"), F.col("s_suppkey").alias("ord"))
+    """Routes made of all line items; suppliers in credit have the method that routes may name."""
+    key, maker = F.col("l_orderkey").cast("string"), F.concat(F.lit("App\\C"), F.col("l_suppkey").cast("string"))
+    uri = F.concat(F.when(F.col("l_returnflag") == "R", "_").otherwise(""), F.concat_ws("/", F.lit("orders"), key, "l_linenumber"))
+    action = F.when(F.col("l_quantity").cast("int") % 5 == 0, "Closure").when(F.col("l_quantity").cast("int") % 5 == 1, maker).otherwise(F.concat(maker, F.lit("@show")))
+    layers = F.when(F.col("l_quantity").cast("int") % 7 == 0, F.array(F.lit("auth"), F.lit("web"))).otherwise(F.array().cast("array<string>"))
+    routes = _t(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, "GET").otherwise("HEAD").alias("method"), uri.alias("uri"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("orders."), key)).alias("name"), action.alias("action"), layers.alias("middleware"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 1000 + F.round(100 * F.col("l_extendedprice")).cast("long") % 1000).alias("ord"))
+    methods = _t(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("C"), F.col("s_suppkey").cast("string"), F.lit(".show")).alias("label"), F.lit("method").alias("type"), F.col("s_suppkey").alias("ord"))
     made, linked = resolve.link_routes(routes, methods)
-    hit = linked.where("target like 'm%'").select(F.col("source").alias("id"), "relation")
-    controllers = linked.where("target like 'controller_%'").select(F.col("source").alias("id"), F.expr("substring(target, 12)").alias("cls"))
-    rows = made.where("type = 'route'").join(hit, "id", "left").join(controllers, "id")
-    return rows.select(F.split("label", " ")[0].alias("method"), F.split("label", " ")[1].alias("uri"), "relation", "cls")
+    ends = linked.groupBy(F.col("source").alias("id")).agg(F.max(F.when(F.startswith("target", F.lit("route_controller_")), F.col("target"))).alias("controller"), F.max(F.when(~F.startswith("target", F.lit("route_controller_")), F.col("target"))).alias("method"))
+    return made.where("type = 'route'").join(ends, "id", "left").select("id", "label", "source_location", "description", "controller", "method")
 
 
-@_query("with p as (select doc_id, regexp_extract_all(text, '([A-Za-z]+)') as w from documents) select cast(doc_id as varchar) as file, 'p' as prop, 'T' || doc_id as prop_type from p where doc_id % 3 = 0 union all select cast(doc_id as varchar), 'p', 'U' || doc_id from p where doc_id % 3 = 1 union all select cast(doc_id as varchar), 'p', 'W' || doc_id from p where doc_id % 3 = 2")
+@_query("select cast(doc_id as varchar) as file, 'p' as prop, substr('TVUWX', doc_id % 5 + 1, 1) || doc_id as prop_type from documents")
 def q_property_types(spark, sf):
-    """Typed declarations beat constructor parameters, which beat created objects."""
+    """Typed declarations beat comments, which beat constructor parameters, created and resolved objects."""
     i = F.col("doc_id").cast("string")
-    created = F.concat(F.lit("$this->p = new W"), i, F.lit("();"))
+    resolved = F.concat(F.lit("$this->p = app(\\App\\X"), i, F.lit("::class);"))
+    created = F.concat(F.lit("$this->p = new \\App\\W"), i, F.lit("();\n"), resolved)
     params = F.concat(F.lit("function __construct(U"), i, F.lit(" $p) {}\n"), created)
-    typed = F.concat(F.lit("private T"), i, F.lit(" $p;\n"), params)
-    rows = _t(spark, sf, "documents").select(i.alias("file"), F.when(F.col("doc_id") % 3 == 0, typed).when(F.col("doc_id") % 3 == 1, params).otherwise(created).alias("content"))
-    return resolve.property_types(rows)
+    commented = F.concat(F.lit("/** @var V"), i, F.lit(" $p */\n"), params)
+    typed = F.concat(F.lit("var S"), i, F.lit(" $p;\nprivate T"), i, F.lit(" $p;\n"), commented)
+    kinds = F.array(typed, commented, params, created, resolved)
+    return resolve.property_types(_t(spark, sf, "documents").select(i.alias("file"), F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("content")))
 
 
 @_query("select user_id, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as new from events)) group by user_id, s")
@@ -255,3 +311,73 @@ def q_projects(spark, sf):
     d = _t(spark, sf, "documents").select("source").distinct()
     rows = d.select(F.explode(F.array(F.concat(F.when(F.col("source") == "src0", "").otherwise(F.concat("source", F.lit("/"))), F.lit("package.json")), F.concat(F.when(F.col("source") == "src0", "").otherwise(F.concat("source", F.lit("/"))), F.lit("vite.config.ts")))).alias("path"))
     return fs.projects(rows)
+
+
+@_query(_GRAPH + "select printf('%.1f', 2.0 * (select count(*) from edges) / (select count(*) from nodes)) as average_degree")
+def q_average_degree(spark, sf):
+    return report.average_degree(table_graph(spark, sf))
+
+
+@_query(_GRAPH + ", shown as (select id from degrees where type <> 'file' order by degree desc, ord limit 1500) select source, target, relation, confidence <> 'EXTRACTED' as dashed from edges where source in (from shown) and target in (from shown) order by ord limit 4000")
+def q_view_edges(spark, sf):
+    graph = table_graph(spark, sf)
+    return report.view_edges(graph, report.view_nodes(g.Graph(graph.nodes.withColumn("community", F.lit(1)), graph.edges))).select("source", "target", "relation", "dashed")
+
+
+@_query(_GRAPH + ", e as (select source as id, relation, ord, '→' as arrow, target as other, confidence from edges union all select target, relation, ord, '←', source, confidence from edges where source <> target), l as (select e.*, arrow || ' **' || label || '** (' || type || ') _' || confidence || '_' as line from e join (select id as other, label, type from nodes) using (other)) select id, relation, count(*) as n, list(line order by ord, arrow)[:15] as shown from l where id in (select id from nodes where type = 'file') group by id, relation")
+def q_explain_details(spark, sf):
+    graph = table_graph(spark, sf)
+    return impact.details(graph, graph.nodes.where("type = 'file'").select("id")).drop("first")
+
+
+@_query("select cast(doc_id as varchar) as path, lang = 'en' and sha256(text) is not null as cached from documents where text is not null")
+def q_split_by_cache(spark, sf):
+    """Documents as files: English ones are in the cache as they are, others as they once were."""
+    d = _t(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), "lang", F.col("text").cast("binary").alias("content"))
+    found = fs.with_hash(d)
+    cache = found.select(F.col("path").alias("file"), F.when(F.col("lang") == "en", F.col("hash")).otherwise(F.lit("old")).alias("hash"))
+    cached, fresh = fs.split_by_cache(found, cache)
+    return cached.select(F.col("file").alias("path"), F.lit(True).alias("cached")).unionByName(fresh.select("path", F.lit(False).alias("cached")))
+
+
+@_query(
+    """
+with f as (select 'src/c' || c_nationkey || '/m' || c_custkey || case c_custkey % 4 when 0 then '.ts' when 1 then '.py' when 2 then '/index.js' else '.vue' end as path from customer),
+i as (select o_orderkey as ord, 'src/c' || c_nationkey || '/index.ts' as importer, '../c' || c_nationkey || '/m' || o_custkey || case when o_orderkey % 5 = 0 then '.ts' else '' end as specifier, c_nationkey, o_custkey from orders join customer on c_custkey = o_custkey)
+select ord, specifier, case when o_custkey % 4 = 3 or (o_orderkey_5 and o_custkey % 4 <> 0) then null
+    else 'src/c' || c_nationkey || '/m' || o_custkey || case o_custkey % 4 when 0 then '.ts' when 1 then '.py' else '/index.js' end end as resolved
+from (select *, ord % 5 = 0 as o_orderkey_5 from i)"""
+)
+def q_modules(spark, sf):
+    """Orders import the modules of their customers: by suffix, by index file, as they are, or not at all."""
+    c = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("src/c"), F.col("c_nationkey").cast("string"), F.lit("/m"), F.col("c_custkey").cast("string")).alias("stem"), F.col("c_nationkey").cast("string").alias("n"))
+    kinds = F.array(*map(F.lit, (".ts", ".py", "/index.js", ".vue")))
+    listing = c.select(F.concat("stem", F.get(kinds, (F.col("c_custkey") % 4).cast("int"))).alias("path"))
+    o = _t(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    name = F.concat(F.lit("../c"), "n", F.lit("/m"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".ts").otherwise(""))
+    imports = o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("src/c"), "n", F.lit("/index.ts")).alias("importer"), name.alias("specifier"))
+    return fs.resolve_modules(imports, listing).select("ord", "specifier", "resolved")
+
+
+@_query(
+    """
+select o_orderkey as ord, case when o_orderkey % 3 = 0 then 'run' || c_custkey when s_acctbal > 0 then 'm' || s_suppkey else 'C' || s_suppkey || '.run' end as target
+from orders join customer on c_custkey = o_custkey join (select *, count(*) over () as many from supplier) on s_suppkey = o_custkey % many"""
+)
+def q_resolve_calls(spark, sf):
+    """Customers are classes that call, through a typed property or by name, the suppliers' classes; those in credit
+    have the method. Every third call is of an unknown variable and stays as it is."""
+    s, c, o = (_t(spark, sf, n) for n in ("supplier", "customer", "orders"))
+    many = s.count()
+    text, key = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x)), F.col
+    shape = lambda df, id, label, kind, file, ord: df.select(id.alias("id"), label.alias("label"), F.lit(kind).alias("type"), file.alias("source_file"), F.lit(None).cast("string").alias("source_location"), F.lit(None).cast("string").alias("description"), ord.cast("long").alias("ord"))
+    n = shape(s, text("k", key("s_suppkey")), text("C", key("s_suppkey")), "class", text("s", key("s_suppkey"), ".php"), key("s_suppkey"))
+    n = n.unionByName(shape(s.where("s_acctbal > 0"), text("m", key("s_suppkey")), text("C", key("s_suppkey"), ".run"), "method", text("s", key("s_suppkey"), ".php"), key("s_suppkey") + 10**6))
+    for i, (id, label, kind) in enumerate((("q", ("K", ""), "class"), ("go", ("K", ".go"), "method"), ("run", ("run", None), "call"))):
+        name = F.lit("run") if kind == "call" else text(label[0], key("c_custkey"), label[1])
+        n = n.unionByName(shape(c, text(id, key("c_custkey")), name, kind, text("c", key("c_custkey"), ".php"), key("c_custkey") + (i + 2) * 10**8))
+    context = F.when(key("o_orderkey") % 3 == 0, "$x").when(key("o_orderkey") % 3 == 1, "$this->s").otherwise(text("C", key("o_custkey") % many))
+    e = o.join(c, key("c_custkey") == key("o_custkey")).select(text("go", key("o_custkey")).alias("source"), text("run", key("o_custkey")).alias("target"), F.lit("calls").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.85).alias("confidence_score"), context.alias("call_context"), key("o_orderkey").cast("long").alias("ord"))
+    sources = c.select(text("c", key("c_custkey"), ".php").alias("file"), text("private C", key("c_custkey") % many, " $s;").alias("content"))
+    graph = g.Graph(n, e)
+    return resolve.resolve_calls(graph, resolve.class_index(graph, sources)).edges.select("ord", "target")

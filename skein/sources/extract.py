@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import node_id
 from skein.operators.graph import EDGE_SCHEMA, NODE_SCHEMA, first_by
+from skein.operators.iterate import dense_rank
 from skein.sources.files import MOST_BYTES
 
 _ITEM = "array<struct<id:string,label:string,type:string,source_file:string,source_location:string,description:string>>"
@@ -39,7 +40,7 @@ class Found:
 
     def __post_init__(self):
         self.root = make_id(self.file, "file")
-        self.nodes[self.root] = (self.root, self.file.replace("\\", "/").rsplit("/", 1)[-1], "file", self.file, None, None)
+        self.nodes[self.root] = (self.root, self.file, "file", self.file, None, None)
 
     def add(self, name: str, kind: str, line: int, about: str | None = None, label: str | None = None) -> str:
         i = make_id(self.file, name)
@@ -48,6 +49,12 @@ class Found:
         self.link(self.root, i, "contains")
         return i
 
+    def stand_in(self, name: str, kind: str) -> str:
+        """The id of a name that is used but may be declared elsewhere; without a place or a link of its own."""
+        i = make_id(self.file, name)
+        self.nodes.setdefault(i, (i, name, kind, self.file, None, None))
+        return i
+
     def link(self, source: str, target: str, relation: str, inferred: float | None = None, context: str | None = None) -> None:
         self.edges.append((source, target, relation, "INFERRED" if inferred else "EXTRACTED", inferred, context))
 
@@ -110,7 +117,7 @@ DIALECTS = {
     "rust": Dialect(functions=r"(?:^|[\s;{}])fn\s+(?P<n>\w+)", types=r"(?:^|[\s;{}])(?P<k>struct|enum|trait)\s+(?P<n>\w+)(?P<h>)", imports=r"(?:^|\n)\s*(?:pub\s+)?use\s+([\w:]+)"),
     "cpp": Dialect(functions=r"(?:^|\n)[ \t]*(?:[\w:<>,*&~]+[ \t]+)+[*&]*(?P<n>[\w:~]+)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?=\{)", types=r"(?:^|[\s;{}])(?P<k>class|struct|enum)\s+(?P<n>\w+)(?P<h>[^{;()]*)(?=\{)", imports=r"(?:^|\n)\s*#\s*include\s*[<\"]([^>\"\n]+)"),
     "ruby": Dialect(functions=r"(?:^|\n)[ \t]*def\s+(?:self\.)?(?P<n>\w+[?!]?)", types=r"(?:^|\n)[ \t]*(?P<k>class|module)\s+(?P<n>\w+)(?P<h>[^\n]*)", imports=r"(?:^|\n)\s*require(?:_relative)?\s+['\"]([^'\"]+)", hashes=True),
-    "php": Dialect(functions=r"(?:^|[\s;{}])function\s+&?(?P<n>\w+)\s*\(", types=r"(?:^|[\s;{}])(?P<k>class|interface|trait|enum)\s+(?P<n>[A-Z_a-z]\w*)(?P<h>[^{;]*)", imports=r"(?:^|\n)use\s+([\w\\]+)", hashes=True),
+    "php": Dialect(functions=r"(?:^|[\s;{}])function\s+&?(?P<n>\w+)\s*\(", types=r"(?:^|[\s;{}])(?P<k>class|interface|trait|enum)\s+(?P<n>[A-Z_a-z]\w*)(?P<h>[^{;]*)", hashes=True),
 }
 
 
@@ -136,11 +143,15 @@ def scanned(file: str, text: str, lang: str) -> Found:
     found, d = Found(file), DIALECTS[lang]
     code = blanked(text, d.hashes)
     inside: list[tuple[int, int, str, str]] = []
+    parents: list[tuple[str, str]] = []
     for m in re.finditer(d.types, code):
         at = m.start("n")
         kind = {"module": "class", "record": "class", "type": "type"}.get(m["k"], m["k"] if m["k"] in ("class", "interface", "struct", "enum", "trait", "object") else "type")
         i = found.add(m["n"], kind, _line(code, at), _about(text, m.start("k")))
-        _heritage(found, i, m["h"])
+        if lang != "php":
+            _heritage(found, i, m["h"])
+        else:
+            parents.append((i, m["h"]))
         a, b = block_after(code, m.end())
         if b > a and kind != "type":
             inside.append((a, b, i, m["n"]))
@@ -160,12 +171,23 @@ def scanned(file: str, text: str, lang: str) -> Found:
             for name in re.findall(r"\"([^\"]+)\"", m[1] or m[2]):
                 found.link(found.root, name, "imports")
     if lang == "php":
-        m = re.search(r"(?:^|\n)namespace\s+([\w\\]+)", code)
+        m = re.search(r"(?:^|\n)\s*(?:<\?php\s+)?namespace\s+([\w\\]+)", code)
+        space = m[1] if m else ""
         if m:
-            found.add(m[1], "namespace", _line(code, m.start(1)))
+            found.add(space, "namespace", _line(code, m.start(1)))
+        imports = php_imports(code, [(a, b) for a, b, *_ in inside])
+        for full in imports.values():
+            found.link(found.root, found.stand_in(full, "namespace"), "imports")
+        full_name = lambda short: imports.get(short) or (f"{space}\\{short}" if space else short)
+        for i, heads in parents:
+            for word, kind, relation in (("extends", "class", "inherits"), ("implements", "interface", "implements")):
+                m = re.search(rf"\b{word}\s+([\w\\, \t\r\n]+?)(?=\bimplements\b|\Z)", heads)
+                for name in re.findall(r"[\w\\]+", m[1]) if m else []:
+                    found.link(i, found.stand_in(full_name(name.rsplit("\\", 1)[-1]), kind), relation)
         for a, b, i, cls in inside:
             for p in re.finditer(r"(?:public|protected|private)\s+(?:readonly\s+)?(?:static\s+)?(?:\??[\w\\|]+\s+)?\$(\w+)", code[a:b]):
                 found.add(f"{cls}.{p[1]}", "property", _line(code, a + p.start(1)))
+    called: list[tuple[str, list[tuple[str, str | None]]]] = []
     for m in re.finditer(d.functions, code):
         name = m["n"] or m.groupdict().get("a")
         at = m.start("n") if m["n"] else m.start("a")
@@ -180,16 +202,36 @@ def scanned(file: str, text: str, lang: str) -> Found:
         a, b = block_after(code, m.end())
         calls = names_called(code, a, b)
         if lang == "php":
-            calls += [(f"{n}", c) for c, n in dict.fromkeys((r[1], r[2]) for r in re.finditer(r"(\$this(?:->\w+)*|\$\w+|[A-Z][\w\\]*)(?:->|::)(\w+)\s*\(", code[a:b]))]
+            # A receiver is a variable, a chain of its properties, or a class, which counts by its short name.
+            used = ((r[1] or r[2].rsplit("\\", 1)[-1], r[3]) for r in re.finditer(r"(?:(\$\w+(?:->\w+)*)->|(?<![\w$\\>])([\w\\]+)::)(\w+)\s*\(", code[a:b]))
+            calls += [(n, c) for c, n in dict.fromkeys(used) if c not in ("parent", "self", "static")]
+            called.append((i, calls))
+        else:
+            found.calls(i, calls)
+    for i, calls in called:
+        # What is called may be declared elsewhere; without a node of its own the edge would have no end.
+        for name, _ in calls:
+            found.stand_in(name, "call")
         found.calls(i, calls)
     for m in re.finditer(d.imports, text) if d.imports else ():
-        if lang == "php":
-            found.link(found.root, found.add(m[1], "call", _line(text, m.start(1)), label=m[1]), "imports")
-        else:
-            found.link(found.root, m[1], "imports")
+        found.link(found.root, m[1], "imports")
     return found
 
 
+def php_imports(code: str, inside: list[tuple[int, int]]) -> dict[str, str]:
+    """alias -> full name of a file's use statements; those within braces of types name traits."""
+    out: dict[str, str] = {}
+    for m in re.finditer(r"(?:^|[;{}\n])\s*use\s+(?:function\s+|const\s+)?([\w\\][^;]*);", code):
+        if any(a < m.start(1) < b for a, b in inside):
+            continue
+        head, _, group = m[1].partition("{")
+        for part in group.rstrip("} \t\r\n").split(",") if group else head.split(","):
+            name, _, alias = (x.strip() for x in f"{head if group else ''}{part.strip()}".partition(" as "))
+            if re.fullmatch(r"[\w\\]+", name):
+                out[alias or name.rsplit("\\", 1)[-1]] = name.lstrip("\\")
+    return out
+
+
 def python_file(file: str, text: str) -> Found:
     found = Found(file)
     for node in ast.parse(text).body:
@@ -265,12 +307,11 @@ def extract_files(files: DataFrame) -> DataFrame:
 def as_tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes and edges with their order (file, then place in it); the first node of an id counts. Relative
     module imports become edges to the file nodes they mean, or go."""
-    place = lambda: F.row_number().over(Window.orderBy("file", "p")) - 1
-    nodes = extracted.select("file", F.posexplode("nodes").alias("p", "n")).select("file", "p", "n.*").withColumn("ord", F.xxhash64("file"))
-    # A dense order by file and place; the global sort runs over (file, place) alone.
-    numbered = nodes.withColumn("ord", place().cast("long"))
+    # A dense order by file and place, counted by ranges.
+    placed = lambda df: dense_rank(df, ["file", "p"], "ord").withColumn("ord", F.col("ord") - 1)
+    numbered = placed(extracted.select("file", F.posexplode("nodes").alias("p", "n")).select("file", "p", "n.*"))
     first = first_by(numbered, [F.col("id")], [F.col("ord")]).select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")])
-    edges = extracted.select("file", F.posexplode("edges").alias("p", "e")).select("file", "p", "e.*").withColumn("ord", place().cast("long"))
+    edges = placed(extracted.select("file", F.posexplode("edges").alias("p", "e")).select("file", "p", "e.*"))
     modules = edges.where("target like 'module:%'").select("ord", F.col("file").alias("importer"), F.expr("substring(target, 8)").alias("specifier"))
     from skein.sources.files import resolve_modules
 

@@ -8,10 +8,27 @@ from pyspark.sql import functions as F
 from skein.functions.text import content_hash, extension
 
 #: Folders that a scan leaves out, and the language of each extension.
-IGNORED = ("node_modules", "vendor", "dist", "build", "coverage", "target", "bin", "obj", "__pycache__", "venv", "storage", "graph-out")
-LANGUAGES = {".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".py": "python", ".pyi": "python", ".go": "go", ".rs": "rust", ".java": "java", ".c": "cpp", ".h": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".rb": "ruby", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".php": "php", ".sh": "bash", ".bash": "bash", ".json": "json", ".vue": "vue"}
-DOCUMENTS = (".md", ".mdx", ".txt", ".rst")
+IGNORED = ("node_modules", "vendor", ".git", ".pi", "dist", "build", ".next", ".cache", "__pycache__", "coverage", ".nyc_output", "graph-out", ".graphify", "storage", "test-results")
+LANGUAGES = {
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript",
+    ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "typescript",
+    ".py": "python", ".pyi": "python",
+    ".go": "go",
+    ".sh": "bash", ".bash": "bash", ".zsh": "bash",
+    ".json": "json",
+    ".java": "java",
+    ".rs": "rust",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp",
+    ".rb": "ruby",
+    ".kt": "kotlin", ".kts": "kotlin",
+    ".scala": "scala", ".sc": "scala",
+    ".php": "php", ".phtml": "php",
+    ".vue": "vue",
+}
+DOCUMENTS = (".md", ".mdx", ".txt", ".rst", ".yaml", ".yml", ".toml", ".xml", ".html", ".css", ".scss", ".less")
 MOST_BYTES = 1_000_000
+#: Suffixes tried on a module's path, then on its index file; a path that has one is tried as it is first.
+MODULE_SUFFIXES = (".ts", ".js", ".tsx", ".jsx", ".mts", ".mjs", ".py", ".go")
 
 ROUTE_SCHEMA = "method string, uri string, name string, action string, middleware array<string>"
 
@@ -24,7 +41,7 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     stem = base.split(":", 1)[-1].lstrip("/") if ":" in base else base.lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), "^" + _quoted(stem) + "/", "")
     rows = raw.withColumn("path", path).withColumn("parts", F.split("path", "/"))
-    hidden = F.exists("parts", lambda p: p.startswith(".") | p.isin(*IGNORED))
+    hidden = F.exists("parts", lambda p: p.startswith(".") | p.isin(list(IGNORED)))
     lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     named = rows.where(~hidden).withColumn("ext", extension("path")).withColumn("lang", F.try_element_at(lang, F.col("ext"))).where("lang is not null")
     columns = ["path", "ext", "lang", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
@@ -35,6 +52,20 @@ def _quoted(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in text)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def project_marks(spark: SparkSession, root: str) -> DataFrame:
+    """path of files that mark projects (of the root or of its folders) though a scan leaves them out."""
+    place, base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, root.rstrip("/")
+    store = place(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = ["artisan"] if store.exists(place(f"{base}/artisan")) else []
+    names += [f"{f.getPath().getParent().getName()}/artisan" for f in store.globStatus(place(f"{base}/*/artisan")) or []]
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
 def with_hash(files: DataFrame) -> DataFrame:
     return files.withColumn("hash", content_hash("content"))
 
@@ -75,13 +106,14 @@ def module_candidates(specifier: F.Column, importer: F.Column) -> F.Column:
     joined = F.concat(folder, F.regexp_replace(specifier, r"^\./", ""))
     up = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).when((p == ".") | (p == ""), acc).otherwise(F.concat(acc, F.array(p))))
     base = F.array_join(up, "/")
-    # Suffixes tried on a module's path, then on its index file.
-    suffixes = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".json")
-    return F.array(base, *[F.concat(base, F.lit(s)) for s in suffixes], *[F.concat(base, F.lit(f"/index{s}")) for s in suffixes])
+    whole = F.when(base.rlike("(" + "|".join("\\" + s for s in MODULE_SUFFIXES) + ")$"), base)
+    return F.array(whole, *[F.concat(base, F.lit(s)) for s in MODULE_SUFFIXES], *[F.concat(base, F.lit(f"/index{s}")) for s in MODULE_SUFFIXES])
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (importer, specifier, ...) with ``resolved``: the first candidate that is a file."""
-    tried = imports.withColumn("_i", F.monotonically_increasing_id()).select("*", F.posexplode(module_candidates(F.col("specifier"), F.col("importer"))).alias("_p", "path"))
-    hits = tried.join(files.select("path"), "path").groupBy("_i").agg(F.min_by("path", "_p").alias("resolved"))
-    return imports.withColumn("_i", F.monotonically_increasing_id()).join(hits, "_i", "left").drop("_i")
+    """imports (ord, importer, specifier, ...) with ``resolved``: the first candidate that is a file. ord tells
+    imports apart; a specifier that isn't relative means no file."""
+    relative = imports.where(F.startswith("specifier", F.lit(".")))
+    tried = relative.select("ord", F.posexplode(module_candidates(F.col("specifier"), F.col("importer"))).alias("_p", "path"))
+    hits = tried.join(files.select("path").distinct(), "path").groupBy("ord").agg(F.min_by("path", "_p").alias("resolved"))
+    return imports.join(hits, "ord", "left")
