@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 _STRETCH = 256
+#: Rounds before cycles are looked for.
+_LOOK = 8
 
 
 def canonical(value) -> str:
@@ -81,31 +83,51 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def ordered(calls: DataFrame, deps: DataFrame, work: Workspace, most: int = 64) -> DataFrame:
+def _behind_cycles(edges: DataFrame, work: Workspace) -> DataFrame:
+    """conv_id, call_id of all calls on a cycle or depending on one: what is left after calls without open
+    dependencies, and calls that nothing open depends on, are peeled off until nothing moves."""
+    open_, before = edges.select("conv_id", "call_id", "on_id"), -1
+    while True:
+        down = open_.join(open_.select("conv_id", F.col("call_id").alias("on_id")).distinct(), ["conv_id", "on_id"], "left_semi")
+        open_ = work.table(down.join(down.select("conv_id", F.col("on_id").alias("call_id")).distinct(), ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "on_id"), "peeled")
+        left = open_.count()
+        if left in (0, before):
+            break
+        before = left
+    stuck = spread = work.table(open_.select("conv_id", "call_id").distinct(), "stuck")
+    while not spread.isEmpty():
+        more = edges.join(spread.select("conv_id", F.col("call_id").alias("on_id")), ["conv_id", "on_id"], "left_semi").select("conv_id", "call_id").distinct()
+        spread = work.table(more.join(stuck, ["conv_id", "call_id"], "left_anti"), "behind")
+        stuck = work.table(stuck.unionByName(spread), "stuck")
+    return stuck
+
+
+def ordered(calls: DataFrame, deps: DataFrame, work: Workspace) -> DataFrame:
     """calls (conv_id, call_id, seq) with lift, level and position from 0 in a topological order.
 
-    deps: conv_id, call_id, on_id. Unknown identifiers and self-references don't count. Calls on a cycle, or
-    behind ``most`` links that each point to a later call, don't settle: their position is null."""
+    deps: conv_id, call_id, on_id. Unknown identifiers and self-references don't count. Calls on a cycle, and
+    those that depend on one, have no place in any order and get no row. Rounds go on until nothing moves: a
+    chain of n calls that each depend on a later one takes n of them. Cycles are looked for only where
+    ``_LOOK`` rounds didn't settle everything."""
     keys = ["conv_id", "call_id"]
     now = work.table(calls.select(*keys, "seq", F.col("seq").alias("lift"), F.lit(0).cast("long").alias("level")), "keys")
     edges = work.table(deps.where("call_id <> on_id").distinct().join(calls.select(*keys), keys, "left_semi").join(calls.select("conv_id", F.col("call_id").alias("on_id")), ["conv_id", "on_id"], "left_semi"), "deps")
-    moved = None
-    for _ in range(most):
+    rounds = 0
+    while True:
         on = now.select("conv_id", F.col("call_id").alias("on_id"), F.struct("lift", (F.col("level") + 1).alias("level")).alias("k"))
         pushed = edges.join(on, ["conv_id", "on_id"]).groupBy(*keys).agg(F.max("k").alias("k"))
         raised = now.join(pushed, keys, "left").withColumn("up", F.coalesce((F.col("k.lift") > F.col("lift")) | ((F.col("k.lift") == F.col("lift")) & (F.col("k.level") > F.col("level"))), F.lit(False)))
         moved = work.table(raised.select(*keys, "seq", F.when(F.col("up"), F.col("k.lift")).otherwise(F.col("lift")).alias("lift"), F.when(F.col("up"), F.col("k.level")).otherwise(F.col("level")).alias("level"), "up"), "round")
-        now = moved.drop("up")
+        work.drop(now)
+        now = moved.select(*keys, "seq", "lift", "level")
         if moved.where("up").isEmpty():
             break
-    loose = moved.where("up").select(*keys)
-    # What depends on an unsettled call has no place either.
-    fixed = moved.where("not up").drop("up")
-    spread = loose
-    while not spread.isEmpty():
-        spread = work.table(edges.join(spread.withColumnRenamed("call_id", "on_id"), ["conv_id", "on_id"], "left_semi").select(*keys).distinct().join(fixed, keys, "left_semi"), "loose")
-        fixed = work.table(fixed.join(spread, keys, "left_anti"), "fixed")
-    placed = fixed.withColumn("stretch", F.floor(F.col("lift") / _STRETCH))
+        rounds += 1
+        if rounds == _LOOK:
+            stuck = _behind_cycles(edges, work)
+            now = work.table(now.join(stuck, keys, "left_anti"), "loose")
+            edges = work.table(edges.join(stuck, keys, "left_anti"), "deps")
+    placed = now.withColumn("stretch", F.floor(F.col("lift") / _STRETCH))
     inner = F.row_number().over(Window.partitionBy("conv_id", "stretch").orderBy("lift", "level", "seq", "call_id")) - 1
     sizes = placed.groupBy("conv_id", "stretch").agg(F.count(F.lit(1)).alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -169,7 +191,8 @@ TURN_SCHEMA = {"type": "object", "additionalProperties": False, "required": ["qu
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User turns as calls of the tool ``answer``, each after the user turn two turns earlier; assistant
-    turns as results of the turn before them."""
+    turns as results of the turn before them. Rows of another role, and those with a null turn, are neither
+    and give no row; of repeated turns one counts (see link_calls). Other columns aren't read."""
     name = lambda back: F.concat_ws(":", "conv_id", (F.col("turn") - back).cast("string"))
     fields = F.to_json(F.struct(F.col("text").alias("question"), F.col("turn").alias("turn")))
     users = conversations.where("role = 'user' and turn is not null")
