@@ -14,7 +14,9 @@ its documents; a task holds only offsets.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,8 +37,8 @@ _MAGIC = b"SKNTOK01"
 class EliasFano:
     """A non-decreasing sequence of integers >= 0: low bits packed, high bits in unary.
 
-    ``select(i)`` jumps to the sampled position of the last of every ``SAMPLE`` set bits and counts
-    on from there.
+    ``values(i, j)`` jumps to the sampled position of the last of every ``SAMPLE`` set bits before i and counts
+    set bits of bytes on from there. Samples are all there is besides the code: 64 / ``SAMPLE`` bits a value.
     """
 
     SAMPLE = 256
@@ -75,25 +77,42 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(k)
         return out
 
+    def _sampled(self) -> np.ndarray:
+        """Byte of every ``SAMPLE``-th set bit, and the set bits before that byte; made a stretch of bytes at a time."""
+        if self._samples is None:
+            found, seen = [], 0
+            for a in range(0, len(self.high), 1 << 16):
+                upto = np.cumsum(np.bitwise_count(self.high[a : a + (1 << 16)]), dtype=np.int64)
+                want = np.arange(-(-seen // self.SAMPLE) * self.SAMPLE, min(self.n, seen + int(upto[-1])), self.SAMPLE) - seen
+                at = np.searchsorted(upto, want, side="right")
+                found.append(np.stack([at + a, seen + np.where(at, upto[at - 1], 0)], axis=1))
+                seen += int(upto[-1])
+            self._samples = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return self._samples
+
+    def values(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1; only their part of the code is decoded."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.uint64)
+        byte, before = self._sampled()[i // self.SAMPLE].tolist()
+        ones, a = [], byte
+        while before < j:
+            bits = np.flatnonzero(np.unpackbits(self.high[a : a + 4096], bitorder="little"))
+            ones.append(bits[max(0, i - before) : j - before] + 8 * a)
+            before, a = before + len(bits), a + 4096
+        index = np.arange(i, j)
+        return ((np.concatenate(ones) - index).astype(np.uint64) << np.uint64(self.low_bits)) | self._low_of(index)
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        index = np.arange(self.n)
-        return ((ones - index).astype(np.uint64) << np.uint64(self.low_bits)) | self._low_of(index)
+        return self.values(0, self.n)
 
     def select(self, i: int) -> int:
         """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        if self._samples is None:
-            counts = np.cumsum(np.unpackbits(self.high.reshape(-1, 1), axis=1).sum(axis=1, dtype=np.int64))
-            self._samples = np.searchsorted(counts, np.arange(0, self.n, self.SAMPLE), side="right")
-            self._before = np.concatenate([[0], counts])
-        byte = int(self._samples[i // self.SAMPLE])
-        while self._before[byte + 1] <= i:
-            byte += 1
-        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        at = 8 * byte + int(ones[i - self._before[byte]])
-        return ((at - i) << self.low_bits) | int(self._low_of(np.array([i]))[0])
+        return int(self.values(i, i + 1)[0])
 
 
 class _Numbers(dict):
@@ -113,7 +132,8 @@ class ChunkEncoder:
 
     Valid for tokenizers whose pre-tokenizer drops white space and never lets a token span it, as
     the word tokenizer's does: ids of a text are those of its chunks end to end. Splitting is on
-    ASCII white space only; any other stays within its chunk for the library to judge.
+    ASCII white space only; any other stays within its chunk for the library to judge. With any other
+    tokenizer file (see drops_space), whole texts are given to the library.
     """
 
     LIMIT = 600_000
@@ -123,6 +143,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunk = drops_space(path)
         self.clear()
 
     def clear(self) -> None:
@@ -153,6 +174,10 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids end to end, number of ids of each text)."""
+        if not self.by_chunk:
+            made = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            sizes = np.fromiter((len(e) for e in made), np.int64, len(made))
+            return np.fromiter(chain.from_iterable(e.ids for e in made), np.uint32, int(sizes.sum())), sizes
         if len(self.known) > self.LIMIT:
             self.clear()
         parts = [t.split() for t in texts]
@@ -171,6 +196,25 @@ class ChunkEncoder:
         return ids, per
 
 
+def drops_space(path: str) -> bool:
+    """Whether a tokenizer file splits texts by matches of a pattern that can't match white space, drops
+    what is between them, and normalises characters alone."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    parts = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+    first = next(iter(parts(made.get("pre_tokenizer"), "pretokenizers")), {"type": ""})
+    if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]:
+        # Only negated classes that name white space may hold a sign of it; no dot, no space, no other negation.
+        rest = re.sub(r"\[\^[^\]]*\\s[^\]]*\]", "", first["pattern"]["Regex"])
+        splits = not re.search(r"\s|\.|\[\^|\\[sSWDPvhHRXn]", rest)
+    else:
+        splits = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    fine = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    tokens = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in made.get("added_tokens", []))
+    return bool(splits and tokens and all(n["type"] in fine or n == spaces for n in parts(made.get("normalizer"), "normalizers")))
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -189,9 +233,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, work: Worksp
     """Encode every text (null: empty), append ``end_id`` and write shards; returns the manifest.
 
     Documents are range-partitioned on (id, text hash), so a repeated id doesn't pile up in one
-    task; nulls come first. ``width`` is the bytes of an id: 2 where the vocabulary fits. Input
-    columns other than the two are ignored.
+    task; nulls come first. ``width`` is the bytes of an id: 2 where the vocabulary fits, which is checked.
+    Texts are encoded whole, however long; an empty table gives no shards. Input columns other than the
+    two are ignored.
     """
+    from tokenizers import Tokenizer
+
+    largest = max(end_id, Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1)
+    if largest >= 1 << 8 * width:
+        raise ValueError(f"ids up to {largest} don't fit into {width} bytes")
     folder = work.folder("tokens")
     dtype = {2: "<u2", 4: "<u4"}[width]
 
@@ -248,8 +298,10 @@ class TokenShard:
         self.bounds = EliasFano.from_bytes(self.file.read_at(a, total * width))
         self._names = EliasFano.from_bytes(self.file.read_at(b, total * width + a))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + [int(x) + self.base for x in self._names.all()]
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Of documents i to j - 1; those without an id come first."""
+        null = max(0, min(j, self.n_null) - i)
+        return [None] * null + [int(x) + self.base for x in self._names.values(max(0, i - self.n_null), max(0, j - self.n_null))]
 
     def span(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((end - start) * self.width, start * self.width), f"<u{self.width}")
@@ -269,17 +321,19 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = TokenShard(row["path"])
-                bounds, names = shard.bounds.all().astype(np.int64), shard.doc_ids()
                 i = 0
                 while i < shard.n_docs:
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (4 << 20), side="right")) - 1)
-                    j = min(j, shard.n_docs, i + 20_000)
-                    ids = shard.span(bounds[i], bounds[j]).astype("<u4")
-                    sums = [zlib.crc32(ids[bounds[k] - bounds[i] : bounds[k + 1] - bounds[i]]) for k in range(i, j)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[i:j], pa.int64()), "start": pa.array(bounds[i:j] + row["base"], pa.int64()), "n_tokens": pa.array(np.diff(bounds[i : j + 1]), pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
-                    i = j
+                    # Selected offsets of a few documents at a time, cut where their ids take too much.
+                    bounds = shard.bounds.values(i, min(i + 4096, shard.n_docs) + 1).astype(np.int64)
+                    n = max(1, int(np.searchsorted(bounds, bounds[0] + (4 << 20), side="right")) - 1)
+                    bounds = bounds[: n + 1]
+                    ids = shard.span(bounds[0], bounds[-1]).astype("<u4")
+                    sums = [zlib.crc32(ids[a - bounds[0] : b - bounds[0]]) for a, b in zip(bounds, bounds[1:])]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids(i, i + len(sums)), pa.int64()), "start": pa.array(bounds[:-1] + row["base"], pa.int64()), "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
+                    i += len(sums)
                 shard.close()
 
-    # One row a shard: this window is over file names, not documents.
-    shards = manifest.withColumn("base", before).repartition(F.col("shard"))
+    # One row a shard: this window is over file names, not documents. An explicit count keeps shards in tasks of their own.
+    spark = manifest.sparkSession
+    shards = manifest.withColumn("base", before).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.col("shard"))
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
