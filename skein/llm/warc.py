@@ -1,9 +1,9 @@
 """WARC archives with revisit records in place of repeated payloads.
 
-Headers (page id, size, SHA-1 of the payload), never payloads, are shuffled by digest; of equal
-payloads of at least ``least`` bytes the one with the largest page id becomes the response and the
-others revisits that refer to it. The table of repeated digests reaches the payloads by broadcast
-while it is small enough, and by a shuffle join beyond. Each record is a gzip member of its own,
+Headers (page id, size, SHA-1 of the payload) are shuffled by digest; of equal payloads of at least
+``least`` bytes the one with the largest page id becomes the response and the others revisits that refer
+to it. The table of repeated digests reaches the payloads by broadcast while it is small enough; beyond,
+payloads are shuffled once, by digest and salt. Each record is a gzip member of its own,
 as is usual for WARC files, with headers written afresh. Readers inflate one record at a time.
 """
 
@@ -26,6 +26,8 @@ from .workspace import Workspace, attempt_name, open_fs
 
 #: Rows of repeated digests (about 60 bytes each) that a broadcast may hold.
 BROADCAST_ROWS = 200_000
+#: Parts that the rows of a digest are dealt to where payloads are shuffled.
+_SALTS = 16
 _FILE_BYTES = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORDS = "record_id string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to_id string"
@@ -93,9 +95,14 @@ def resolve_revisits(pages: DataFrame, least: int = 1000, broadcast_rows: int =
     heads = rows.where(F.octet_length("payload") >= least).select("digest", "page_id")
     repeated = heads.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1 and winner is not null").select("digest", "winner")
     repeated = Workspace(pages.sparkSession, "digests").table(repeated)
-    # Measured, not assumed: beyond the bound the payloads are shuffled instead.
+    # Measured, not assumed: beyond the bound payloads are shuffled once, salted, as a digest may hold a third of them.
     small = repeated.limit(broadcast_rows + 1).count() <= broadcast_rows
-    joined = rows.join(F.broadcast(repeated) if small else repeated.hint("merge"), "digest", "left")
+    if small:
+        joined = rows.join(F.broadcast(repeated), "digest", "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)))
+        every = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+        joined = salted.join(every.hint("merge"), ["digest", "salt"], "left").drop("salt")
     revisit = F.coalesce(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.lit(False))
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("winner")).alias("refers_to"))
 
@@ -155,7 +162,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(names, rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, _RECORDS)
+    # An explicit count, as Spark would join tasks with so little input into one.
+    spark = manifest.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return manifest.select("path").repartition(tasks, F.col("path")).mapInArrow(read, _RECORDS)
 
 
 def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
