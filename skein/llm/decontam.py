@@ -11,25 +11,27 @@ separators, each smaller than all words and than every later separator. Over thi
                    back to one of them by LF steps, which so never cross a separator
 
 Occurrences become word spans of documents, and overlapping or touching spans are merged.
-The benchmark reaches tasks by broadcast in slices of bounded size, however large it is.
+The benchmark reaches tasks by broadcast; a large one in slices of bounded size, a pass over the documents each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .words import alnum_words, as_bytes, small_batches
+from .workspace import Workspace
 
-#: Words in a benchmark slice that one broadcast holds, and symbols of a shard.
-SLICE_BYTES = 32 << 20
+#: Bytes of benchmark texts in a slice, which one broadcast holds, and symbols of a shard.
+SLICE_BYTES = 4 << 20
 SHARD_WORDS = 2 << 20
 _SAMPLE = 8
 
@@ -223,19 +225,17 @@ def search_shard(words: list[list[bytes]], slices: list[Phrases]) -> list[tuple[
     return out
 
 
-def benchmark_slices(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> list:
-    """Broadcasts of Phrases. Items are dealt to slices of about ``slice_bytes`` by a hash of their id,
-    and the driver holds one slice at a time. Rows that share an id are one item; a null id is the item
-    named by the empty string; items without words have no phrases."""
-    spark = benchmark.sparkSession
+def benchmark_slices(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[Phrases, bool]]:
+    """Phrases of one slice of the benchmark after another, and whether it's the last. Items are dealt to
+    slices of about ``slice_bytes`` by a hash of their id, and the driver holds one slice at a time. Rows that
+    share an id are one item; a null id is the item named by the empty string; items without words have no
+    phrases."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("binary").alias("text")).where(F.length(text_col) > 0)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total) // slice_bytes
-    out = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(Phrases.of([(r.name, bytes(r.text)) for r in part.toLocalIterator()], window)))
-    return out
+        yield Phrases.of([(r.name, bytes(r.text)) for r in part.toLocalIterator()], window), k == n - 1
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -254,30 +254,52 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 _FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", slice_bytes: int = SLICE_BYTES, cut: bool = False) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", slice_bytes: int = SLICE_BYTES, cut: bool = False, work: Workspace | None = None) -> DataFrame:
     """Every row of docs with n_words, n_hit, items and spans; with ``cut``, spans are cut from the text.
 
-    Works row by row: repeated rows and ids stay, a null text has no words. Columns of docs named
-    like a new one are replaced.
+    Works row by row: repeated rows and ids stay, a null text has no words, texts are read whole however
+    long; an empty table gives none. Columns of docs named like a new one are replaced. A benchmark of more
+    than ``slice_bytes`` takes a pass over the documents for each of its slices, so that a task never holds
+    more than one.
     """
-    slices = benchmark_slices(benchmark, window, item_col, "text", slice_bytes)
     new = ("n_words", "n_hit", "items", "spans")
-    kept = docs.select([c for c in docs.columns if c not in new])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), _FOUND])
+    now = docs.select([c for c in docs.columns if c not in new])
+    schema = StructType([*now.schema.fields, *StructType.fromDDL(_FOUND).fields])
+    spark, before = docs.sparkSession, None
+    for part, last in benchmark_slices(benchmark, window, item_col, "text", slice_bytes):
+        shared = spark.sparkContext.broadcast(part)
+        now = now.mapInArrow(_search(shared, text_col, cut and last, before is not None), schema)
+        if not last:
+            work = work or Workspace(spark, "passages")
+            now = work.table(now, "slice")
+            shared.unpersist()
+            if before is not None:
+                work.drop(before)
+            before = now
+    return now
+
+
+def _search(shared, text_col: str, cut: bool, again: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over documents with one slice; again: what passes before found stands in the last columns."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    new = ("n_words", "n_hit", "items", "spans")
 
     def shard(group: list[tuple[pa.RecordBatch, list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
-        found = search_shard([w for _, ws in group for w in ws], [s.value for s in slices])
+        found = search_shard([w for _, ws in group for w in ws], [shared.value])
         for batch, words in group:
             mine, found = found[: len(words)], found[len(words) :]
             columns = list(batch.columns)
+            if again:
+                *columns, _, _, items, spans = columns
+                mine = [(_united(s, [(x["start"], x["end"]) for x in t]), sorted({*i, *j})) for (s, i), j, t in zip(mine, items.to_pylist(), spans.to_pylist())]
+            names = batch.schema.names[: len(columns)]
             if cut and any(spans for spans, _ in mine):
                 k = batch.schema.get_field_index(text_col)
                 texts = as_bytes(columns[k])
                 columns[k] = pa.array([cut_spans(t, s) if s else t for t, (s, _) in zip(texts, mine)], pa.binary()).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([len(w) for w in words], pa.int64()), pa.array([sum(b - a for a, b in s) for s, _ in mine], pa.int64()), pa.array([i for _, i in mine], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in mine], span_type)],
-                names=[*batch.schema.names, *new],
+                names=[*names, *new],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +314,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
         if group:
             yield from shard(group)
 
-    return kept.mapInArrow(run, schema)
+    return run
+
+
+def _united(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(x + y):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def items_digest(items: list[str]) -> str:
