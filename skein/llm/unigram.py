@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .words import as_bytes, small_batches
 
@@ -121,6 +122,7 @@ class Unigram:
         self.unknown = float(v.scores[np.isfinite(v.scores)].min()) - UNKNOWN_PENALTY
         self.apart = not any(b" " in p.lstrip(b" ") for p, _ in real)
         self.lines = not any(b"\n" in p for p, _ in real)
+        self._lists: list[list] | None = None
         self.output = [bytes([i - v.bytes_at]) if v.bytes_at <= i < v.bytes_at + 256 else (p or b"") for i, p in enumerate(v.pieces)]
         self.clear()
 
@@ -225,8 +227,9 @@ class Unigram:
 
     def _solve_long(self, part: bytes) -> np.ndarray:
         """The same in plain Python, for parts whose length makes vectors short."""
-        base, check, value = (x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value))
-        scores, n = self.vocabulary.scores.tolist(), len(part)
+        if self._lists is None:
+            self._lists = [x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.vocabulary.scores)]
+        (base, check, value, scores), n = self._lists, len(part)
         best, start, piece = [-np.inf] * (n + 5), [0] * (n + 5), [-1] * (n + 5)
         best[0] = 0.0
         for i in range(n):
@@ -277,11 +280,12 @@ def unigram_of(path: str) -> Unigram:
 def with_pieces(docs: DataFrame, path: str, *, text_col: str = "text", full: bool = True) -> DataFrame:
     """docs with n_pieces, n_byte_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit
     integers) and decoded_equal for every row's whole text (null: empty, no pieces); with ``full`` also
-    ids (array of int) and decoded (string). Columns of docs with these names are replaced."""
+    ids (array of int) and decoded (string). Columns of docs with these names are replaced. Texts are
+    encoded whole, however long; repeated rows stay, an empty table gives none."""
     new = ["n_pieces", "n_byte_pieces", "ids_crc32", "decoded_equal", *(["ids", "decoded"] if full else [])]
     kept = docs.select([c for c in docs.columns if c not in new])
     kinds = {"n_pieces": "long", "n_byte_pieces": "long", "ids_crc32": "long", "decoded_equal": "boolean", "ids": "array<int>", "decoded": "string"}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{c} {kinds[c]}" for c in new)])
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"{c} {kinds[c]}" for c in new)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unigram_of(path)
