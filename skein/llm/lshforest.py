@@ -35,6 +35,8 @@ DENSE = 512
 _HALF = 256
 #: Rows of a cut run in a block, and sketch pairs compared at a time.
 _BLOCK, _PAIRS = 4096, 1 << 22
+#: Parts that the rows of a node are dealt to when they get their group.
+_SALTS = 8
 _words = WordHashes()
 
 _SIGNED = "doc_id long, node long, n_shingles long, minhash binary"
@@ -344,10 +346,12 @@ def _compare(batches: Iterator[pa.RecordBatch], links: Callable[[list, Iterator]
 
 
 def near_groups(docs: DataFrame, *, k: int = 2, percent: int = 80, work: Workspace | None = None) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash, grp (a group's key).
 
-    Empty sets are linked with nothing. The least non-null id of a group is its component_id; a row
-    with a null id is in its group all the same, and kept only where all of the group's ids are null."""
+    Empty sets (null, empty and blank texts) are linked with nothing. The least non-null id of a group is its
+    component_id; a row with a null id is in its group all the same, and kept only where all of the group's ids
+    are null. Rows that share an id, and repeated rows, each get a row; those with the group's least id are
+    all kept. Texts are read whole, however long; an empty table gives no rows; other columns aren't read."""
     work = work or Workspace(docs.sparkSession, "forest")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,13 +362,20 @@ def near_groups(docs: DataFrame, *, k: int = 2, percent: int = 80, work: Workspa
                 nodes.append(set_key(s))
                 sizes.append(len(s))
                 least.append(minhashes(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary())], names=["doc_id", "node", "n_shingles", "minhash"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), batch.column(2)], names=["doc_id", "node", "n_shingles", "minhash", "text_hash"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = work.table(plain.mapInArrow(sign, _SIGNED), "signed")
+    signed = work.table(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, f"{_SIGNED}, text_hash long"), "signed")
     roots = work.table(near_links(signed, plain, work, k, percent), "roots")
-    placed = signed.drop("minhash").join(roots, "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    least = placed.where("n_shingles > 0").groupBy("grp").agg(F.min("doc_id").alias("least"))
-    whole = placed.where("n_shingles > 0").join(least, "grp").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    empty = placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return whole.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.drop("minhash")
+    # A group's least id is found from a row for each node, and goes back to them: copies don't meet in a task.
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    least = work.table(nodes.groupBy("grp").agg(F.min("doc_id").alias("least")), "least")
+    told = nodes.where("root is not null").join(least, "grp").unionByName(nodes.where("root is null").withColumn("least", F.col("doc_id"))).select("node", "grp", F.col("least").alias("component_id"))
+    salted = rows.where("n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(_SALTS)))
+    every = work.table(told, "told").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    columns = ("doc_id", "n_shingles", "component_id", "text_hash", "grp")
+    whole = salted.join(every, ["node", "salt"]).select(*columns)
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.col("node").alias("grp"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return whole.unionByName(empty).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash", "grp")
