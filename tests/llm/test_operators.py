@@ -78,6 +78,12 @@ def test_topk_exact(spark):
         assert [got[i, r + 1] for r in range(5)] == [(j, s[j]) for j in best]
 
 
+def test_topk_of_huge_values(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.0]), (3, [2.0, 1.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
+
+
 def test_warc(spark):
     long = "é" * 600
     rows = [(1, "http://a/\r\nx y", long), (2, None, long), (9, "http://c", long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", long), (6, "u", "\r\n\r\n" * 300)]
@@ -106,6 +112,11 @@ def test_tool_calls(spark):
     results = [(1, "a", 3, "late"), (1, "a", 1, "first"), (1, "z", 1, None), (None, "a", 1, "x")]
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link_calls(spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"), {"t": {"type": "object"}}, Workspace(spark, "c")).collect()}
     assert {k: (r.status, r.position, r.valid) for k, r in got.items()} == {(1, "a"): ("linked", 2, True), (1, "b"): ("unanswered", 1, True), (1, "c"): ("unanswered", 0, False), (1, "d"): ("unanswered", None, True), (1, "e"): ("unanswered", None, True), (1, "f"): ("unanswered", None, False), (1, "z"): ("orphan", None, None), (2, "a"): ("unanswered", 0, False)}
+    # Each call depends on the next; two calls at the chain's other end are a cycle that a last one waits for.
+    chain = [(7, f"c{i}", i, "t", args, [f"c{i + 1}"]) for i in range(25)] + [(7, "c25", 25, "t", args, [])] + [(7, "x", 1, "t", args, ["y"]), (7, "y", 2, "t", args, ["x"]), (7, "z", 3, "t", args, ["x", "c3"])]
+    work = Workspace(spark, "c")
+    linked = toolcalls.link_calls(spark.createDataFrame(chain, "conv_id long, call_id string, seq long, name string, arguments string, after array<string>"), spark.createDataFrame([], "conv_id long, call_id string, seq long, content string"), {"t": {}}, work)
+    assert {r.call_id: r.position for r in linked.collect()} == {f"c{i}": 25 - i for i in range(26)} | {"x": None, "y": None, "z": None}
     assert got[1, "a"].json == '{"after":["b"],"arguments":{"n":1},"id":"a","name":"t","result":"first"}' and got[1, "a"].n_calls == 2
 
 
@@ -139,6 +150,9 @@ def test_elias_fano():
     for values in ([], [0], [0, 0, 0], [7], np.sort(rng.integers(0, 10**9, 3000)), np.arange(5000)):
         ef = tokenfile.EliasFano.from_bytes(tokenfile.EliasFano.encode(np.array(values, np.int64)).to_bytes())
         assert ef.all().tolist() == list(values) and all(ef.select(i) == values[i] for i in range(0, len(values), 37))
+        assert all(ef.values(i, j).tolist() == list(values[i:j]) for i in range(0, len(values), 211) for j in (i, i + 1, min(len(values), i + 700), len(values)) if i <= j <= len(values))
+        # What is kept beside the code: a pair of numbers for each 256 values.
+        assert ef._sampled().size <= 2 * (len(values) // 256 + 1)
 
 
 def test_token_files(spark):
@@ -153,11 +167,88 @@ def test_token_files(spark):
     want = collections.Counter((i, zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4"))) for i, t in rows)
     assert collections.Counter((g[1], g[3]) for g in got) == want
     assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:])) and got[0][0] == 0
+    with pytest.raises(ValueError):
+        tokenfile.write_tokens(odd(spark), path, 1 << 16, Workspace(spark, "tok"))
     shard = tokenfile.TokenShard(manifest.first().path)
     assert shard.ids(shard.n_docs - 1)[-1] == 2
     assert tokenfile.read_tokens(tokenfile.write_tokens(none(spark), path, 2, Workspace(spark, "tok"))).count() == 0
 
 
+def test_whole_texts_for_other_tokenizers(tmp_path):
+    assert tokenfile.drops_space(tokenizer_file("word_bpe_49k.json")) and not tokenfile.drops_space(tokenizer_file("byte_bpe_50k.json"))
+    encoder = tokenfile.ChunkEncoder(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["a  b\n\nc", "", " x"]
+    ids, sizes = encoder.encode([t.encode() for t in texts])
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def small_model(spark, texts, **settings):
+    s = maxent.Settings(min_rows=256, **settings)
+    corpus = maxent.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Workspace(spark, "lm"), s)
+    return s, corpus, maxent.train(corpus)
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_probability(word, before, t, s, counts):
+    """Of a word after the words before it, one feature at a time; t: the trained tables, counts: of training."""
+    import xxhash
+
+    rows = len(t.weights) // 2
+    digest, shared = lambda w: xxhash.xxh3_64_intdigest(w), lambda w: zlib.crc32(w[-3:]) % 512
+    own = {int(h): k for k, h in enumerate(t.own)}
+
+    def cell(w):
+        return own[digest(w)] if counts[w] and digest(w) in own else 512 + shared(w)
+
+    key = lambda w: digest(w) if counts[w] * s.named * rows >= t.tokens else shared(w) + 11
+    one = plain_mix(key(before[-1])) if before else 1
+    two = plain_mix(key(before[-2])) if len(before) > 1 else 2
+    keys = [one, plain_mix((one * 3 + two) % 2**64), (two * 5 + 7) % 2**64]
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    p = softmax(t.weights[0].astype(float) + sum(t.weights[k % rows or 1].astype(float) for k in keys))
+    cls, member = divmod(cell(word), 32)
+    cross = [max(32, (((k + (cls + 1) * 0x9E3779B97F4A7C15) * 0xD1342543DE82EF95) % 2**64 >> 40) % rows) for k in (keys[0], keys[2])]
+    q = softmax(t.weights[rows + cls].astype(float) + sum(t.weights[rows + k].astype(float) for k in cross))
+    if cell(word) < 512:
+        return p[cls] * q[member]
+    within = [w for w in counts if counts[w] and cell(w) == cell(word)]
+    return p[cls] * q[member] * (counts[word] + 1) / (sum(counts[w] for w in within) + len(within) + 1)
+
+
+def test_language_model_by_hand(spark):
+    rng = random.Random(5)
+    names = [f"{a}{b}" for a in "ka lo mi ne ru so ti va wu xe".split() for b in (f"{i}{c}" for i in range(9) for c in "abcdefgh")]
+    texts = [" ".join(w for _ in range(rng.randrange(60)) for w in (rng.choice(names[:40]), rng.choice(names)) ) for _ in range(60)]
+    s, corpus, t = small_model(spark, texts)
+    split = lambda x: [*x.encode().split(), b"\n"]
+    counts = collections.Counter(w for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in split(x))
+    got = {r.doc_id: r.score for r in maxent.score(corpus, t).collect()}
+    for i in (0, 7, 23, 44):
+        words = split(texts[i])
+        assert got[i] == pytest.approx(sum(math.log10(plain_probability(w, words[:k], t, s, counts)) for k, w in enumerate(words)), abs=1e-3)
+    # All words of training, and one unseen word of each shared member, have a probability of one together.
+    ends = [next(w for w in (f"{k}".encode() for k in range(10**6)) if zlib.crc32(w[-3:]) % 512 == c) for c in range(512)]
+    for before in ([], [b"ka0a"], [b"lo1b", b"never seen"]):
+        total = sum(plain_probability(w, before, t, s, counts) for w in [*(w for w in counts if counts[w]), *ends])
+        # Members that no word has are given next to nothing by the start.
+        assert 0.99 < total <= 1 + 1e-6
+
+
+def test_language_model_learns_history(spark):
+    rng = random.Random(6)
+    after = {f"w{i}": f"v{(7 * i) % 90}" for i in range(90)}
+    texts = [" ".join(x for _ in range(150) for w in [rng.choice(list(after))] for x in (w, after[w])) for _ in range(80)]
+    rows = [r for r in maxent.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
+    assert rows and gain > 0.3
+
+
 def test_language_model(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).selectExpr("doc_id + 10000 as doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -236,6 +327,20 @@ def test_line_dedup(spark):
     assert {k: r.text for k, r in kept.items()} == {1: "a b\n\nc", 2: "d", 4: "", 5: None} and kept[2].lines == "k"
 
 
+def test_similar_lines_of_all_lengths(spark):
+    rng = random.Random(11)
+    rows, n = [], 0
+    for size in (8, 70, 85, 140, 400):
+        base = [f"s{size}w{i}" for i in range(size)]
+        for copy in range(24):
+            # Up to two in nine words differ, around the limit; order and case don't count.
+            words = [w if rng.random() > rng.choice([0, 0.05, 0.1, 0.12]) else f"x{rng.randrange(10**6)}" for w in base]
+            rng.shuffle(words)
+            rows.append((n := n + 1, " ".join(words).upper() if copy % 2 else " ".join(words)))
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.removed_lines) for r in got), key=repr) == line_brute(rows)
+
+
 def test_toxicity():
     rng = random.Random(4)
     bad, plain = ["idiot", "moron", "scumbag"], [f"{a}{b}" for a in "ka lo mi ne".split() for b in "ra to vu sel dor".split()]
