@@ -290,7 +290,8 @@ def q_property_types(spark, sf):
     created = F.concat(F.lit("$this->p = new \\App\\W"), i, F.lit("();\n"), resolved)
     params = F.concat(F.lit("function __construct(U"), i, F.lit(" $p) {}\n"), created)
     commented = F.concat(F.lit("/** @var V"), i, F.lit(" $p */\n"), params)
-    typed = F.concat(F.lit("var S"), i, F.lit(" $p;\nprivate T"), i, F.lit(" $p;\n"), commented)
+    # A comment of this form reads as a declaration too, so it stands before those that are to win.
+    typed = F.concat(F.lit("/** @var V"), i, F.lit(" $p */\nvar S"), i, F.lit(" $p;\nprivate T"), i, F.lit(" $p;\n"), params)
     kinds = F.array(typed, commented, params, created, resolved)
     return resolve.property_types(_t(spark, sf, "documents").select(i.alias("file"), F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("content")))
 
