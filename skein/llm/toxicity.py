@@ -7,7 +7,12 @@ reads it; embeddings and softmax are trained together by Adam in numpy. Toxic wo
 many, so windows, not whole documents, are averaged: first windows drawn from all carry their
 document's label, then only the one that the model finds worst, for toxic and for clean documents. A
 document's logit is that of its worst window, placed on the probability scale by a logistic fit on
-training documents that were held back from the embeddings.
+training documents that were held back from the embeddings. (An average over a whole document drowns
+one toxic sentence in a long text; the README has figures for both.)
+
+The fit reads at most ``toxic_rows`` and ``clean_rows`` labelled rows. Their texts are cut into words where
+they lie, whole texts up to ``words_a_row`` words and runs of words drawn over all of a longer one, and one
+task trains on them; the driver sees nothing but the weights. Its memory is bound by these parameters.
 
 As softmax and averages are linear, scoring needs one number a word: each task computes it once for
 every distinct word, and a document costs a lookup a word and a running sum.
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import as_bytes, small_batches
 
@@ -42,10 +48,11 @@ class Settings:
     epochs: int = 90
     rate: float = 0.02
     decay: float = 1e-5
-    #: The sample that the model is fitted on: rows of either label, and words of a row.
+    #: The sample that the model is fitted on: rows of either label, and words of a row, in drawn runs of ``run`` words.
     toxic_rows: int = 2500
     clean_rows: int = 6000
     words_a_row: int = 3000
+    run: int = 40
 
 
 # Letters and digits of any script; apostrophes and the like end a word.
@@ -83,6 +90,10 @@ def subwords(word: bytes, s: Settings) -> list[int]:
     return out
 
 
+#: Windows whose words are looked up at a time.
+_AT_ONCE = 1 << 18
+
+
 def _segments(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
@@ -110,12 +121,17 @@ class Model:
 
     def logit(self, text: bytes) -> float:
         """Of the worst window of a whole text; windows overlap by all but one word."""
-        words = tox_words(text)
-        if not words:
-            return self.bias
-        sums = np.concatenate([[0.0], np.cumsum(self.word(words))])
-        w = min(self.s.window, len(words))
-        return float((sums[w:] - sums[:-w]).max()) / self.s.window + self.bias
+        return self.worst([self.word(tox_words(text))])
+
+    def worst(self, runs: list[np.ndarray]) -> float:
+        """The largest logit of all windows within runs of words' numbers; the bias if there are no words."""
+        most = []
+        for values in runs:
+            if len(values):
+                sums = np.concatenate([[0.0], np.cumsum(values)])
+                w = min(self.s.window, len(values))
+                most.append(float((sums[w:] - sums[:-w]).max()) / self.s.window + self.bias)
+        return max(most, default=self.bias)
 
     def score(self, text: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.logit(text) + self.shift, -60, 60))))
@@ -124,13 +140,15 @@ class Model:
         return self.__dict__ | {"known": {}}
 
 
-def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[bytes, float]]:
+def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], owner: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[bytes, float]]:
+    """words: numbers of the words of each run; owner: the row that a run is of, ascending; label: of each row."""
     half = max(1, s.window // 2)
     counts = [max(1, -(-(len(w) - half) // half)) for w in words]
-    doc = np.repeat(np.arange(len(words)), counts)
+    run = np.repeat(np.arange(len(words)), counts)
+    doc = owner[run]
     begin = np.concatenate([np.arange(n) * half for n in counts])
-    size = np.minimum(s.window, np.array([len(w) for w in words])[doc] - begin)
-    place = np.concatenate([[0], np.cumsum([len(w) for w in words])])[doc] + begin
+    size = np.minimum(s.window, np.array([len(w) for w in words])[run] - begin)
+    place = np.concatenate([[0], np.cumsum([len(w) for w in words])])[run] + begin
     token = np.concatenate(words)[_spread(place, size)].astype(np.int32)
     start = _segments(size)
     share = np.bincount(token, minlength=len(vocabulary)) / len(token)
@@ -141,7 +159,7 @@ def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], label: n
         sizes.append(len(own))
     bag, bag_size = np.array(flat, np.int32), np.array(sizes, np.float32)
     bag_start = _segments(bag_size)
-    first = np.searchsorted(doc, np.arange(len(words)))
+    first = np.searchsorted(doc, np.arange(len(label)))
     rng = np.random.default_rng(7)
     params = [rng.normal(0, 0.1, (s.buckets, s.dims)).astype(np.float32), rng.normal(0, 0.5, (s.dims, 2)).astype(np.float32), np.zeros(2, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -152,7 +170,7 @@ def _fit(s: Settings, vocabulary: list[bytes], words: list[np.ndarray], label: n
         else:
             # Linear, so a window's logit needs one number a word; vectors are made for chosen windows alone.
             flat = np.add.reduceat((e @ (u[:, 1] - u[:, 0]))[bag], bag_start) * (damp / bag_size)
-            logits = np.add.reduceat(flat[token], start)
+            logits = np.concatenate([np.add.reduceat(flat[token[start[a] : start[a + _AT_ONCE] if a + _AT_ONCE < len(start) else None]], start[a : a + _AT_ONCE] - start[a]) for a in range(0, len(start), _AT_ONCE)])
             worst = np.flatnonzero(logits == np.maximum.reduceat(logits, first)[doc])
             use = np.empty(len(first), np.int64)
             use[doc[worst]] = worst
@@ -195,26 +213,47 @@ def _place(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def drawn_runs(text: bytes, s: Settings) -> list[list[bytes]]:
+    """All words of a text as one run, or runs drawn over all of it if it has more than ``words_a_row``."""
+    words = tox_words(text)
+    if len(words) <= s.words_a_row:
+        return [words]
+    starts = np.random.default_rng(zlib.crc32(text)).choice(len(words) // s.run, max(1, s.words_a_row // s.run), replace=False)
+    return [words[a * s.run : (a + 1) * s.run] for a in sorted(starts.tolist())]
+
+
+class Numbers(dict):
+    """word -> its number, by first appearance."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((self.setdefault(w, len(self)) for w in words), np.int32, len(words))
+
+
 def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Model:
     """Fit on (text, 0/1) rows; with a label missing, the model scores every text by the share of ones."""
+    numbers = Numbers()
+    return train_runs([[numbers.of(r) for r in drawn_runs(t, s)] for t in texts], list(numbers), labels, s)
+
+
+def train_runs(rows: list[list[np.ndarray]], vocabulary: list[bytes], labels: list[int], s: Settings) -> Model:
+    """As train(), of rows that are cut into runs of numbers of words already."""
     y = np.array(labels, np.float64)
-    if len(y) == 0 or y.min() == y.max():
+    has = np.array([any(len(r) for r in runs) for runs in rows], bool)
+    if len(y) == 0 or not has.any() or len(set(y[has])) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
         return Model(s, np.zeros((s.buckets, 1)), np.zeros((1, 2)), np.zeros(2), None, 0.0, float(np.log(share / (1 - share))))
-    vocabulary: dict[bytes, int] = {}
-    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tox_words(t)[: s.words_a_row]], np.int32) for t in texts]
     # Every fourth row of each label places the logits; the others train the embeddings.
     turn = np.zeros(len(y), np.int64)
     for value in (0, 1):
         turn[y == value] = np.arange(int((y == value).sum())) % 4
-    has = np.array([len(w) > 0 for w in words])
-    fit = has & ((turn != 3) | (min((y == 0).sum(), (y == 1).sum()) < 8))
-    rows = np.flatnonzero(fit)
-    if len(rows) == 0 or len(set(y[rows])) < 2:
-        rows = np.flatnonzero(has)
-    made = Model(s, *_fit(s, list(vocabulary), [words[i] for i in rows], y[rows]))
+    fit = np.flatnonzero(has & ((turn != 3) | (min((y == 0).sum(), (y == 1).sum()) < 8)))
+    if len(set(y[fit])) < 2:
+        fit = np.flatnonzero(has)
+    runs = [(k, run) for k, i in enumerate(fit.tolist()) for run in rows[i] if len(run)]
+    made = Model(s, *_fit(s, vocabulary, [run for _, run in runs], np.array([k for k, _ in runs]), y[fit]))
     held = np.flatnonzero(turn == 3) if (turn == 3).any() and len(set(y[turn == 3])) == 2 else np.arange(len(y))
-    made.scale, made.shift = _place(np.array([made.logit(texts[i]) for i in held]), y[held])
+    value = made.word(vocabulary)
+    made.scale, made.shift = _place(np.array([made.worst([value[run] for run in rows[i]]) for i in held]), y[held])
     made.known = {}
     return made
 
@@ -230,7 +269,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     chosen = parts[0].unionByName(parts[1])
     # Repeated ids give one text, so the sample's size is bound by its parameters.
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, 40 * s.words_a_row)).alias("text"))
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def held_out() -> F.Column:
@@ -238,15 +277,32 @@ def held_out() -> F.Column:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    rows = sorted(((r.doc_id, r.toxic, r.text.encode()) for r in training_rows(docs, labels, s).toLocalIterator()))
-    return train([r[2] for r in rows], [r[1] for r in rows], s)
+    """Trained by one task on the rows of training_rows(), in the order of their ids."""
+    import pickle
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            runs = [b"\n".join(b" ".join(run) for run in drawn_runs(x, s)) for x in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.binary())], names=["doc_id", "toxic", "runs"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))), key=lambda x: x[:2])
+        numbers = Numbers()
+        runs = [[numbers.of(run.split()) for run in x[2].split(b"\n")] for x in rows]
+        model = train_runs(runs, list(numbers), [x[1] for x in rows], s)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    rows = training_rows(docs, labels, s).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")
+    made = rows.mapInArrow(cut, "doc_id string, toxic int, runs binary").repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train([], [], s)
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "toxicity", text_col: str = "text") -> DataFrame:
-    """docs with a score for every row's whole text (null: empty)."""
+    """docs with a score for every row's whole text, however long (null: empty). A column of that name is replaced;
+    repeated rows score alike, an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select([c for c in docs.columns if c != column])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{column}` double"])
+    schema = StructType([*kept.schema.fields, StructField(column, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -258,6 +314,9 @@ def with_score(docs: DataFrame, model: Model, column: str = "toxicity", text_col
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. A null doc_id isn't held out; it has no label."""
+    """Per document: doc_id, held_out, score, predicted. A null doc_id isn't held out; it has no label.
+
+    Words of over 64 bytes are read as pieces that overlap by half, so nothing of a long text or word is left
+    out. Empty texts score by the model's bias. Other columns, of any name, aren't read."""
     scored = with_score(docs.select("doc_id", "text"), fit_model(docs, labels), "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
