@@ -1,23 +1,22 @@
 """Removes lines that repeat or nearly repeat an earlier line, by an exact set-similarity join.
 
-All steps are DataFrame functions. A line's tokens are the distinct lower-cased words of the line,
-as 64-bit hashes. Lines are ordered by (doc_id, text hash, line number), nulls first; a line goes if
-any earlier line has a token set with Jaccard similarity of at least ``percent`` / 100. Lines without
-tokens stay.
-
-1.  Tokens of every line; they are made where they are used, as a table of them would be larger than
-    the documents.
-2.  Rarity: counts over 65,536 hash buckets of all words, rounded to a byte each. Ordering tokens by
+All steps are DataFrame functions. A line's tokens are the distinct lower-cased words of the line.
+Lines are ordered by (doc_id, text hash, line number), nulls first; a line goes if any earlier line has
+a token set with Jaccard similarity of at least ``percent`` / 100. Lines without tokens stay.
+
+1.  Lines that are equal up to case and kind of white space become one entry, known by two 64-bit
+    hashes, with its earliest place and its words.
+2.  Rarity: counts over 65,536 hash buckets of the words of all distinct lines, rounded to a byte each. Ordering tokens by
     (bucket's count, hash) is a total order that is the same for all lines, which is all the prefix
     filter needs to be exact; rarer tokens first makes it selective.
-3.  Equal sets become one entry with its earliest line.
-4.  Shortcut for crowds: every set is held against the earliest set with the same least hash and with
-    the same largest hash (two min-hashes). It settles most of a large group of near copies with two
-    candidates a set, so that the join below never meets all pairs of such a group.
-5.  Prefix join: |x| - ceil(t |x|) + 1 rarest tokens of each set; pairs must pass length and
-    positional filters, and a parity sketch of 64 bits whose differing bits can't outnumber the
-    tokens in which two sets differ.
-6.  Candidates' token sets are intersected in full.
+3.  Shortcut for crowds: every set is held against the earliest sets (of four parts) with the same rarest token,
+    and with the same least or largest hash among its rarest tokens (two min-hashes). It settles most of a large
+    group of near copies with a few candidates a set, so that the join below doesn't meet all pairs of such a group.
+4.  Prefix join: |x| - ceil(t |x|) + 1 rarest tokens of each set; pairs must pass length and
+    positional filters, and a parity sketch of 64 bits (256 for long lines) whose differing bits can't
+    outnumber the tokens in which two sets differ.
+5.  Candidates are read again as words, and the words' 64-bit hashes are intersected in full. Only two
+    different words of one pair of lines with equal hashes could make a difference.
 """
 
 from __future__ import annotations
@@ -31,31 +30,49 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 _BUCKETS = 1 << 16
+#: Sets of so many tokens have a sketch of 256 bits too: all bits but those of the first word, which follows from b.
+_LONG, _WIDE = 80, ("w1", "w2", "w3")
 _FIRST = -(1 << 63)
 
 
-def line_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id (null: the least long), th (hash of the text), line, toks of every line with tokens."""
+def _plain(text: F.Column) -> F.Column:
+    """With a space for every white-space character but line feeds."""
+    for c in ("\t", "\x0b", "\f", "\r"):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _words(words: F.Column) -> F.Column:
+    return F.array_remove(F.split(words, " ", -1), "")
+
+
+def plain_lines(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the least long), th (hash of the text), line, words of every line with tokens."""
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lines = text.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower(F.translate("text", "\t\x0b\f\r", "    ")), "\n", -1)).alias("line", "words"))
-    toks = F.array_distinct(F.transform(F.array_remove(F.split("words", " ", -1), ""), lambda w: F.xxhash64(w)))
-    return lines.select("doc_id", "th", "line", toks.alias("toks")).where(F.size("toks") > 0)
+    lines = text.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower(_plain(F.col("text"))), "\n", -1)).alias("line", "words"))
+    return lines.where(F.trim("words") != "")
 
 
-def rarity(docs: DataFrame) -> list[int]:
-    """A byte below 128 for each hash bucket, about 4 log2 of the words in it, over all documents."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate(F.col("text").cast("string"), "\t\x0b\f\r\n", "     ")), " ", -1)).alias("w")).where("w <> ''")
-    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("k")).count().collect()
+def rarity(lines: DataFrame) -> list[int]:
+    """A byte below 128 for each hash bucket, about 4 log2 of the words in it, over all distinct lines."""
+    words = lines.select(F.explode(F.split("words", " ", -1)).alias("w")).where("w <> ''")
+    counted = words.groupBy(F.hash("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("k")).count().collect()
     counts = np.zeros(_BUCKETS)
     for k, n in counted:
         counts[k] = n
     return np.minimum(127, np.round(4 * np.log2(1 + counts))).astype(int).tolist()
 
 
-def _pair_filter(percent: int) -> str:
-    """Length filter and parity sketch for the columns n, b of x and y."""
-    return f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        and {100 + percent} * bit_count(x.b ^ y.b) <= {100 - percent} * (x.n + y.n)"""
+def _pair_filter(percent: int, nx: str = "x.n", ny: str = "y.n") -> str:
+    """Length filter and parity sketches for x and y; the wide one where both sets have it."""
+    fewer, bits = f"{100 - percent} * ({nx} + {ny})", " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _WIDE)
+    return f"""100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})
+        and {100 + percent} * bit_count(x.b ^ y.b) <= {fewer}
+        and (least({nx}, {ny}) < {_LONG} or {100 + percent} * (bit_count(x.b ^ x.w1 ^ x.w2 ^ x.w3 ^ y.b ^ y.w1 ^ y.w2 ^ y.w3) + {bits}) <= {fewer})"""
+
+
+_KEY = ["h", "g"]
+_PAIR = [f"{side}.{c} as {side}{c}" for side in "xy" for c in _KEY]
 
 
 class SimilarLines:
@@ -63,101 +80,153 @@ class SimilarLines:
         self.spark, self.percent = docs.sparkSession, percent
         self.work = work or Workspace(self.spark, "lines")
         self.docs = docs
+        self._tables: list[tuple[str, str]] = []
 
     def kept(self) -> DataFrame:
         """(doc_id, th, line) of all lines with tokens that stay."""
         w = self.work
-        self.name = f"skein_sets_{uuid.uuid4().hex}"
-        sets = self._sets(line_tokens(self.docs))
-        w.release()
-        settled = self._settled(self._crowd_pairs(sets), sets, "settled")
-        found = self._settled(self._prefix_pairs(sets, settled), sets, "found")
-        gone = settled.unionByName(found).distinct()
-        kept = w.table(sets.select("h", "doc_id", "th", "line").join(gone, "h", "left_anti").select("doc_id", "th", "line"), "kept")
-        self.spark.sql(f"drop table {self.name}")
+        try:
+            lines = self._bucketed(self._distinct(plain_lines(self.docs)))
+            w.release()
+            sets = self._bucketed(self._features(lines))
+            w.release()
+            settled = self._verified(self._crowd_pairs(sets), lines, "settled")
+            # Tokens in two halves: only one half's rows are on disk at a time.
+            halves = []
+            for half in (0, 1):
+                halves.append(w.table(self._prefix_pairs(sets, settled, half), "half"))
+                w.release()
+            found = self._verified(halves[0].unionByName(halves[1]).distinct(), lines, "found")
+            for half in halves:
+                w.drop(half)
+            gone = settled.unionByName(found).distinct()
+            kept = w.table(sets.select(*_KEY, "doc_id", "th", "line").join(gone.hint("shuffle_hash"), _KEY, "left_anti").select("doc_id", "th", "line"), "kept")
+        finally:
+            for name, folder in self._tables:
+                self.spark.sql(f"drop table if exists {name}")
+                w.clear(folder)
+        w.drop(settled)
+        w.drop(found)
         w.release()
         return kept
 
-    def _sets(self, lines: DataFrame) -> DataFrame:
-        """A row for each distinct set: h, n, b, prefix, toks and its earliest line; bucketed by h."""
-        # One literal array, folded once, of each bucket's byte in place above a hash's 56 bits.
-        levels = F.split(F.lit(" ".join(str(x << 56) for x in rarity(self.docs))), " ").cast("array<bigint>")
-        coded = lines.select("doc_id", "th", "line", F.array_min("toks").alias("k1"), F.array_max("toks").alias("k2"), F.sort_array(F.transform("toks", lambda t: F.get(levels, t.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1))))).alias("s"))
-        rows = coded.withColumn("h", F.xxhash64("s"))
-        firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), *(F.first(c).alias(c) for c in ("k1", "k2", "s")))
-        firsts = firsts.withColumn("b", F.expr("aggregate(s, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))"))
-        out = firsts.select("h", F.size("s").alias("n"), "b", "k1", "k2", "s", "at.doc_id", "at.th", "at.line")
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        """df as a table bucketed by h and g, so that joins on them don't shuffle it again."""
+        name, folder = f"skein_lines_{uuid.uuid4().hex}", self.work.folder("bucketed")
+        self._tables.append((name, folder))
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        out.write.bucketBy(buckets, "h").sortBy("h").option("path", self.work.folder("sets")).option("compression", "zstd").format("parquet").saveAsTable(self.name)
-        return self.spark.table(self.name)
+        df.write.bucketBy(buckets, *_KEY).option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
+    def _distinct(self, lines: DataFrame) -> DataFrame:
+        """A row for each distinct line: h, g (two hashes), its words and its earliest place."""
+        keyed = lines.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.struct("doc_id", "th", "line").alias("at"), "words")
+        return keyed.groupBy(*_KEY).agg(F.min("at").alias("at"), F.first("words").alias("words")).select(*_KEY, "words", "at.doc_id", "at.th", "at.line")
+
+    def _features(self, lines: DataFrame) -> DataFrame:
+        """Number of tokens n, sketch b, prefix, and three crowd keys: its rarest token, and its tokens of least and largest hash."""
+        # One literal array, folded once, of each bucket's byte in place above a hash's 56 bits.
+        levels = F.split(F.lit(" ".join(str(x << 56) for x in rarity(lines))), " ").cast("array<bigint>")
+        # Arrays that can't hold a null are sorted and compared as plain longs.
+        code = lambda w: F.coalesce(F.get(levels, F.hash(w).bitwiseAND(F.lit(_BUCKETS - 1))), F.lit(0)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+        place = ("doc_id", "th", "line")
+        # What an empty word between two spaces gives is taken out of the numbers, not of the words.
+        tokens = F.array_remove(F.array_distinct(F.transform(F.split("words", " ", -1), code)), code(F.lit("")))
+        coded = lines.select(*_KEY, *place, F.sort_array(tokens).alias("s"))
+        parity = "aggregate({}, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))"
+        wide = [F.expr(f"case when size(s) >= {_LONG} then {parity.format(f'filter(s, t -> (t & 192) = {64 * k})')} else 0L end").alias(c) for k, c in enumerate(_WIDE, 1)]
+        sets = coded.select(*_KEY, *place, F.size("s").alias("n"), F.expr(f"{parity.format('s')}").alias("b"), *wide, F.slice("s", 1, F.size("s") - F.floor((self.percent * F.size("s") + 99) / 100).cast("int") + 1).alias("prefix"))
+        hashed = sets.withColumn("m", F.transform("prefix", lambda t: t.bitwiseAND(F.lit((1 << 56) - 1))))
+        return hashed.withColumns({"k0": F.get("m", F.lit(0)), "k1": F.array_min("m"), "k2": F.array_max("m")}).drop("m")
 
     def _crowd_pairs(self, sets: DataFrame) -> DataFrame:
-        keyed = sets.select(F.explode(F.array_distinct(F.array("k1", "k2"))).alias("k"), "h", "n", "b", "doc_id", "th", "line")
-        firsts = keyed.groupBy("k").agg(F.min(F.struct("doc_id", "th", "line", "h", "n", "b")).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "y.h", "y.n", "y.b")
-        pairs = keyed.alias("x").join(firsts.alias("y"), F.expr(f"x.k = y.k and x.h <> y.h and {_pair_filter(self.percent)}"))
-        return pairs.select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
-
-    def _prefix_pairs(self, sets: DataFrame, settled: DataFrame) -> DataFrame:
-        prefix = F.slice("s", 1, F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100).cast("int") + 1)
-        flagged = sets.select("h", "n", "b", prefix.alias("prefix"), "doc_id").join(settled.select("h", F.lit(1).alias("f")), "h", "left")
-        rows = flagged.select(F.posexplode("prefix").alias("p", "t"), "h", (F.col("n") * 2 + F.coalesce("f", F.lit(0))).alias("nf"), "b", "doc_id")
-        rows = rows.select("t", "h", "b", "doc_id", (F.col("nf").cast("long") * (1 << 24) + F.col("p")).alias("pack"))
-        # Both sides read the same columns, so that the shuffle by token is made once. The test on x's
-        # flag names y too: as a filter on x alone it would give x's side a shuffle of its own.
-        cond = f"""x.t = y.t and y.doc_id <= x.doc_id and x.h <> y.h
-            and (shiftright(x.pack, 24) & 1) < least(y.pack, 1)
-            and 100 * least(shiftright(x.pack, 25), shiftright(y.pack, 25)) >= {self.percent} * greatest(shiftright(x.pack, 25), shiftright(y.pack, 25))
-            and {100 + self.percent} * least(shiftright(x.pack, 25) - (x.pack & 16777215), shiftright(y.pack, 25) - (y.pack & 16777215)) >= {self.percent} * (shiftright(x.pack, 25) + shiftright(y.pack, 25))
-            and {100 + self.percent} * bit_count(x.b ^ y.b) <= {100 - self.percent} * (shiftright(x.pack, 25) + shiftright(y.pack, 25))"""
-        pairs = rows.alias("x").join(rows.alias("y"), F.expr(cond)).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"))
-        return pairs.distinct()
-
-    def _settled(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """h of each x similar to an earlier y. One y of each x is tried before all others, so that few
-        token sets meet more than one; shuffles of each step are dropped before the next."""
+        own = (*_KEY, "n", "b", *_WIDE)
+        keyed = sets.select(F.explode(F.array_distinct(F.array("k0", "k1", "k2"))).alias("k"), *own, "doc_id", "th", "line")
+        # Not one set for each key but the earliest of each of four parts of its sets.
+        firsts = keyed.groupBy("k", F.col("h").bitwiseAND(F.lit(3)).alias("part")).agg(F.min(F.struct("doc_id", "th", "line", *own)).alias("y"), F.count(F.lit(1)).alias("m")).select("k", *(f"y.{c}" for c in own))
+        # Written, so that both sides of the join come straight from a shuffle and a crowded key can be split.
+        firsts = self.work.table(firsts, "firsts")
+        pairs = keyed.select("k", *own).alias("x").join(firsts.alias("y"), F.expr(f"x.k = y.k and (x.h <> y.h or x.g <> y.g) and {_pair_filter(self.percent)}"))
+        return pairs.selectExpr(*_PAIR).distinct()
+
+    def _prefix_pairs(self, sets: DataFrame, settled: DataFrame, half: int) -> DataFrame:
+        """Pairs, in no order, of sets that share a prefix token of a half; not of two that are settled."""
+        flagged = sets.select(*_KEY, "n", "b", *_WIDE, "prefix").join(settled.withColumn("f", F.lit(1)).hint("shuffle_hash"), _KEY, "left")
+        rows = flagged.select(F.posexplode("prefix").alias("p", "t"), *_KEY, (F.col("n") * 2 + F.coalesce("f", F.lit(0))).alias("nf"), "b", *_WIDE).where(F.col("t").bitwiseAND(F.lit(1)) == half)
+        rows = rows.select("t", *_KEY, "b", *_WIDE, (F.col("nf").cast("long") * (1 << 24) + F.col("p")).alias("pack"))
+        # Both sides read the same columns, so that the shuffle by token is made once; a test on one side
+        # alone would give that side a shuffle of its own.
+        nx, ny = "shiftright(x.pack, 25)", "shiftright(y.pack, 25)"
+        cond = f"""x.t = y.t and (x.h > y.h or x.h = y.h and x.g > y.g) and (x.pack & y.pack & 16777216) = 0 and {_pair_filter(self.percent, nx, ny)}
+            and {100 + self.percent} * least({nx} - (x.pack & 16777215), {ny} - (y.pack & 16777215)) >= {self.percent} * ({nx} + {ny})"""
+        return rows.alias("x").join(rows.alias("y"), F.expr(cond)).selectExpr(*_PAIR).distinct()
+
+    def _verified(self, pairs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+        """h, g of the later one of each similar pair, by all their words (64-bit hashes of them)."""
         w = self.work
         pairs = w.table(pairs, f"{name}-pairs")
         w.release()
-        one = w.table(pairs.groupBy("x").agg(F.min("y").alias("y")), f"{name}-one")
-        first = w.table(self._verified(one, sets), f"{name}-first")
+        ids = pairs.select(F.col("xh").alias("h"), F.col("xg").alias("g")).unionByName(pairs.select(F.col("yh").alias("h"), F.col("yg").alias("g"))).distinct()
+        # Each line of any pair is cut into words once.
+        tokens = F.array_distinct(F.transform(_words(F.col("words")), lambda x: F.xxhash64(x)))
+        told = w.table(lines.join(ids.hint("shuffle_hash"), _KEY).select(*_KEY, F.struct("doc_id", "th", "line").alias("at"), tokens.alias("toks")), f"{name}-tokens")
         w.release()
-        open_pairs = pairs.join(first.select(F.col("h").alias("x")), "x", "left_anti").join(one, ["x", "y"], "left_anti")
-        rest = w.table(self._verified(open_pairs, sets), f"{name}-rest")
+        side = lambda c: told.select(F.col("h").alias(f"{c}h"), F.col("g").alias(f"{c}g"), F.col("toks").alias(f"{c}_toks"), F.col("at").alias(f"{c}_at"))
+        both = pairs.join(side("x"), ["xh", "xg"]).join(side("y"), ["yh", "yg"])
+        later = lambda c: F.when(F.col("y_at") < F.col("x_at"), F.col(f"x{c}")).otherwise(F.col(f"y{c}")).alias(c)
+        sizes = both.select(later("h"), later("g"), F.size("x_toks").alias("nx"), F.size("y_toks").alias("ny"), F.size(F.array_intersect("x_toks", "y_toks")).alias("i"))
+        # Grouped before the test, so that it isn't pushed down and the tokens compared twice.
+        near = sizes.groupBy(*_KEY).agg(F.max(F.expr(f"100 * i >= {self.percent} * (nx + ny - i)")).alias("near")).where("near").select(*_KEY)
+        near = w.table(near, name)
+        w.drop(pairs)
+        w.drop(told)
         w.release()
-        return first.unionByName(rest)
+        return near
+
+
+def _stay(docs: DataFrame, percent: int, work: Workspace | None) -> DataFrame:
+    """k_id, k_th and ``stay``: the numbers of a text's lines with tokens that stay."""
+    return SimilarLines(docs, percent, work).kept().groupBy(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).agg(F.sort_array(F.collect_list("line")).alias("stay"))
+
+
+def _keys() -> list[F.Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("k_id"), F.xxhash64(F.col("text").cast("string")).alias("k_th")]
+
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """h of each x that is similar to an earlier y."""
-        side = lambda c: sets.select(F.col("h").alias(c), F.col("s").alias(f"{c}_toks"), F.struct("doc_id", "th", "line").alias(f"{c}_at"))
-        both = pairs.join(side("x"), "x").join(side("y"), "y").where("y_at < x_at")
-        shared = both.withColumn("i", F.size(F.array_intersect("x_toks", "y_toks"))).where(f"100 * i >= {self.percent} * (size(x_toks) + size(y_toks) - i)")
-        return shared.select(F.col("x").alias("h")).distinct()
+def _told() -> F.Column:
+    """Numbers of the lines with tokens in ``lines`` (of plain text)."""
+    return F.array_compact(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i)))
 
 
-def _with_kept(docs: DataFrame, percent: int, work: Workspace | None) -> DataFrame:
-    """docs with ``lines`` (array of string), ``told`` (numbers of lines with tokens) and ``stay`` (those kept)."""
-    kept = SimilarLines(docs, percent, work).kept().groupBy(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).agg(F.sort_array(F.collect_list("line")).alias("stay"))
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    numbers = F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("lines") - 1))
-    told = F.filter(numbers, lambda i: F.length(F.trim(F.translate(F.get("lines", i), "\t\x0b\f\r", "    "))) > 0)
-    rows = docs.withColumn("lines", lines).withColumn("told", told)
-    return rows.join(kept, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)) == F.col("k_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_th")), "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>"))).drop("k_id", "k_th")
+def _or_none(stay: str) -> F.Column:
+    return F.coalesce(F.col(stay), F.array().cast("array<int>"))
 
 
 def line_report(docs: DataFrame, percent: int = 80, work: Workspace | None = None) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, removed_lines (their numbers from 0, comma-joined).
 
-    A null text has no lines, an empty one has one. Rows that repeat both id and text get the same
-    lines."""
-    rows = _with_kept(docs.select("doc_id", "text"), percent, work)
-    gone = F.array_except("told", "stay")
-    return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
+    A null text has no lines, an empty one has one; texts are read whole, however long. A null doc_id
+    comes before all others. Of lines with equal words the first by (doc_id, text hash, number) stays.
+    Rows that repeat both id and text get the same lines. An empty table gives no rows; other columns
+    are not read."""
+    lines = docs.select("doc_id", *_keys(), F.split(_plain(F.col("text").cast("string")), "\n", -1).alias("lines"))
+    told = lines.select("doc_id", "k_id", "k_th", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(_told(), F.array().cast("array<int>")).alias("told"))
+    rows = told.join(_stay(docs, percent, work), ["k_id", "k_th"], "left")
+    rows = rows.select("doc_id", "n_lines", F.array_except("told", _or_none("stay")).alias("gone"))
+    return rows.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def without_similar_lines(docs: DataFrame, percent: int = 80, work: Workspace | None = None) -> DataFrame:
-    """docs with the lines that stay, in order; rows that lose all their lines with tokens go."""
-    columns = docs.columns
-    rows = _with_kept(docs.withColumnsRenamed({c: f"own_{c}" for c in columns if c in ("lines", "told", "stay", "k_id", "k_th")}), percent, work)
+    """docs with the lines that stay, in order; rows that lose all their lines with tokens go.
+
+    Rows without tokens (null, empty or blank texts) stay as they are, and so do all other columns,
+    whatever their names. What is said of line_report() holds here."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own"), F.col("text").cast("string").alias("text"), *_keys())
+    rows = whole.join(_stay(docs, percent, work), ["k_id", "k_th"], "left").select("own", _or_none("stay").alias("stay"), "text")
+    # Told from the plain text, written from the text as it is.
+    rows = rows.select("own", "stay", "text", F.split(_plain(F.coalesce("text", F.lit(""))), "\n", -1).alias("lines"))
+    rows = rows.select("own", "stay", "text", _told().alias("told")).where((F.size("told") == 0) | (F.size("stay") > 0))
+    lines = rows.select("own", "stay", "text", "told", F.split("text", "\n", -1).alias("lines"))
     left = F.sort_array(F.array_union("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "told")))
     text = F.when(F.size("told") == F.size("stay"), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return rows.withColumn("text", text).where((F.size("told") == 0) | (F.size("stay") > 0)).select([F.col(f"own_{c}").alias(c) if c in ("lines", "told", "stay", "k_id", "k_th") else F.col(c) for c in columns])
+    return lines.select("own", text.alias("text")).select(*(F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
