@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import decontam, linededup, lshforest, maxent, tokenfile, toolcalls, topk, toxicity, unigram, warc
 from skein.llm.components import components
@@ -84,6 +85,24 @@ def test_topk_of_huge_values(spark):
     assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
 
 
+def test_topk_sample_sends_few_rows(spark):
+    """However many tasks there are, the driver gets about twice the sample, and range keys without vectors."""
+    x = spark.range(0, 20000, 1, 40).select(F.array(F.col("id"), F.col("id") * 7).alias("vec"))
+    want = x.orderBy(F.xxhash64("vec"), "vec").limit(300).collect()
+    assert topk.least_hashes(x, 20000, 300).collect() == want
+    assert topk.few_hashes(x, 20000, 300).count() < 900 and topk.few_hashes(x, 600, 300).count() == 20000
+
+
+def test_topk_best_of():
+    rng = np.random.default_rng(1)
+    s, names, ids = rng.integers(0, 9, (20, 60)), rng.permutation(60), np.arange(20)
+    for best in (np.full(20, -np.inf), np.full(20, 7.0)):
+        got = list(zip(*(x.tolist() for x in topk.best_of(s, names, ids, best, 5))))
+        for i in range(20):
+            rows = sorted((-s[i, j], names[j]) for j in range(60) if names[j] != i and s[i, j] >= best[i])[:5]
+            assert [(i, n, -v) for v, n in rows] == [g for g in got if g[0] == i]
+
+
 def test_warc(spark):
     long = "é" * 600
     rows = [(1, "http://a/\r\nx y", long), (2, None, long), (9, "http://c", long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", long), (6, "u", "\r\n\r\n" * 300)]
