@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .words import WordHashes, as_bytes, shingles, small_batches, space_words
+from .words import WordHashes, as_bytes, emptied, few_rows, shingles, small_batches, space_words
 from .workspace import Workspace
 
 TREES, BASE, DEPTH = 32, 5, 8
@@ -43,6 +43,15 @@ _SIGNED = "doc_id long, node long, n_shingles long, minhash binary"
 _TREE = "tree int, path binary, node long, sketch binary"
 
 
+def _clean(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """What a worker knows of words goes with its task: each task meets its own words once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from emptied(kernel, _words)(batches)
+
+    return run
+
+
 def text_shingles(text: bytes, k: int) -> np.ndarray:
     return shingles(_words.array(space_words(text)), k)
 
@@ -221,8 +230,8 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
     nodes = work.table(nodes, "nodes")
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    trees = nodes.select("node", "minhash").mapInArrow(plant, _TREE).repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    found = trees.mapInArrow(lambda b: tree_links(b, limit), "a long, b long, run binary, sketch binary")
+    trees = nodes.select("node", "minhash").mapInArrow(_clean(plant), _TREE).repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+    found = trees.mapInArrow(_clean(lambda b: tree_links(b, limit)), "a long, b long, run binary, sketch binary")
     found = work.table(found.withColumn("part", F.when(F.col("run").isNotNull(), F.spark_partition_id())), "candidates")
     work.release()
     # Runs cut by a task's end, at most one a task: what isn't close to the run's least node meets all of the run.
@@ -237,7 +246,7 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
     right = state.select("run", every("nl").alias("lb"), spread("nm", 2).alias("mb"), F.lit(1).alias("side"), "node", "grp", "sketch")
     keys = ("run", "lb", "mb")
     dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
-    across = dealt.mapInArrow(lambda b: _compare(b, lambda x, y: sketch_links(x, y, limit)), "a long, b long")
+    across = dealt.mapInArrow(_clean(lambda b: _compare(b, lambda x, y: sketch_links(x, y, limit))), "a long, b long")
     tied = cut.where("linked and node <> grp").select(F.col("node").alias("a"), F.col("grp").alias("b"))
     regions = work.table(components(found.where("run is null").select("a", "b").unionByName(tied).unionByName(across), work), "regions")
 
@@ -260,22 +269,22 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "shingles"])
 
     wanted = regions.join(nodes.select("node", "doc_id"), "node")
-    found = docs.select("doc_id", "text").join(wanted.where("doc_id is not null"), "doc_id").select("node", "root", "text").mapInArrow(sets, "node long, root long, shingles binary")
+    found = docs.select("doc_id", "text").join(wanted.where("doc_id is not null"), "doc_id").select("node", "root", "text").mapInArrow(_clean(sets), "node long, root long, shingles binary")
     if not nodes.where("doc_id is null").isEmpty():
         # Nodes without any id are met by their key, made again from the texts of rows without an id.
-        without = docs.where("doc_id is null").select("text").mapInArrow(keyed, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        without = docs.where("doc_id is null").select("text").mapInArrow(_clean(keyed), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
         found = found.unionByName(without.join(wanted.where("doc_id is null"), "node").select("node", "root", "shingles"))
     members = work.table(found, "members")
     work.release()
     heads = members.where("node = root").select("root", F.col("shingles").alias("head"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             n, r, x, h = (batch.column(c).to_pylist() for c in ("node", "root", "shingles", "head"))
             ok = [_alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, h)]
             yield pa.RecordBatch.from_pydict({"node": pa.array(n, pa.int64()), "root": pa.array(r, pa.int64()), "linked": ok})
 
-    checked = work.table(members.where("node <> root").join(heads, "root").mapInArrow(confirm, "node long, root long, linked boolean"), "checked")
+    checked = work.table(members.where("node <> root").join(heads, "root").mapInArrow(_clean(confirm), "node long, root long, linked boolean"), "checked")
     # What isn't linked to its region's head meets the whole region, in blocks of rows.
     open_ = checked.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(~F.col("linked"), 1)).alias("u")).where("u > 0 and m > 1")
     blocks = open_.select("root", F.ceil((F.col("m") + 1) / (2 * _HALF)).cast("int").alias("nm"), F.ceil(F.col("u") / _HALF).cast("int").alias("nl"))
@@ -287,7 +296,7 @@ def near_links(signed: DataFrame, docs: DataFrame, work: Workspace, k: int, perc
     right = base.select("root", every("nl").alias("lb"), spread("nm", 2).alias("mb"), F.lit(1).alias("side"), "node", "grp", "shingles")
     keys = ("root", "lb", "mb")
     dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
-    more = dealt.mapInArrow(lambda b: _compare(b, lambda x, y: block_links(x, y, percent)), "a long, b long")
+    more = dealt.mapInArrow(_clean(lambda b: _compare(b, lambda x, y: block_links(x, y, percent))), "a long, b long")
     links = checked.where("linked").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return components(work.table(links, "links"), work)
 
@@ -321,7 +330,7 @@ def _compare(batches: Iterator[pa.RecordBatch], links: Callable[[list, Iterator]
     import itertools
 
     def rows() -> Iterator[tuple]:
-        for batch in batches:
+        for batch in few_rows(batches):
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     out: list[tuple[int, int]] = []
@@ -365,7 +374,7 @@ def near_groups(docs: DataFrame, *, k: int = 2, percent: int = 80, work: Workspa
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), batch.column(2)], names=["doc_id", "node", "n_shingles", "minhash", "text_hash"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = work.table(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, f"{_SIGNED}, text_hash long"), "signed")
+    signed = work.table(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_clean(sign), f"{_SIGNED}, text_hash long"), "signed")
     roots = work.table(near_links(signed, plain, work, k, percent), "roots")
     rows = signed.drop("minhash")
     # A group's least id is found from a row for each node, and goes back to them: copies don't meet in a task.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Maps every ASCII byte outside 0-9, A-Z and a-z to a space.
@@ -35,13 +36,34 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <
         if column.nbytes <= limit:
             yield batch
             continue
-        sizes = np.fromiter((len(x or b"") for x in as_bytes(column)), np.int64, batch.num_rows)
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, for kernels that make Python objects of a batch."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def emptied(kernel: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
+    """kernel, which leaves no cache and no spare memory of Arrow's in its worker for the stages after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,7 +82,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, computed once for each word a task meets; emptied when large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.llm import decontam, linededup, lshforest, maxent, tokenfile, toolcalls, topk, toxicity, unigram, warc
 from skein.llm.components import components
 from skein.llm.queries import tokenizer_file
-from skein.llm.words import alnum_words, shingles, space_words
+from skein.llm.words import alnum_words, emptied, few_rows, shingles, small_batches, space_words
 from skein.llm.workspace import Workspace
 
 DATA = "/root/testdata/sf0.001"
@@ -85,6 +85,24 @@ def test_topk_of_huge_values(spark):
     assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
 
 
+def test_workers_keep_no_cache_after_a_task():
+    import pyarrow as pa
+
+    cache = lshforest._words
+    lshforest.text_shingles(b"one two three", 2)
+    assert cache
+    batch = pa.RecordBatch.from_pydict({"text": ["ab" * 40, None, "é" * 30, ""] * 50})
+    rows = [b.column(0).to_pylist() for b in lshforest._clean(lambda x: few_rows(x, 64))(iter([batch]))]
+    assert not cache and [len(r) for r in rows] == [64, 64, 64, 8] and sum(rows, []) == batch.column(0).to_pylist()
+    cut = list(small_batches(iter([batch]), "text", 1000))
+    assert len(cut) > 5 and [x for b in cut for x in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+    seen = {1: 2}
+    left = emptied(lambda x: x, seen)(iter([batch]))
+    next(left)
+    left.close()
+    assert not seen
+
+
 def test_topk_sample_sends_few_rows(spark):
     """However many tasks there are, the driver gets about twice the sample, and range keys without vectors."""
     x = spark.range(0, 20000, 1, 40).select(F.array(F.col("id"), F.col("id") * 7).alias("vec"))
