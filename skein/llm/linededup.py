@@ -22,6 +22,8 @@ a token set with Jaccard similarity of at least ``percent`` / 100. Lines without
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,13 +35,21 @@ _BUCKETS = 1 << 16
 #: Sets of so many tokens have a sketch of 256 bits too: all bits but those of the first word, which follows from b.
 _LONG, _WIDE = 80, ("w1", "w2", "w3")
 _FIRST = -(1 << 63)
+_SPACES = ("\t", "\x0b", "\f", "\r")
+
+
+def _longs(numbers: list[int]) -> F.Column:
+    """One literal array, folded once. Numbers below 128 become shared objects, so that lookups stay in the cache."""
+    return F.split(F.lit(" ".join(map(str, numbers))), " ").cast("array<bigint>")
 
 
 def _plain(text: F.Column) -> F.Column:
     """With a space for every white-space character but line feeds."""
-    for c in ("\t", "\x0b", "\f", "\r"):
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+    spaced = text
+    for c in _SPACES:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    # To look for a character costs far less than to replace it.
+    return F.when(reduce(or_, (F.contains(text, F.lit(c)) for c in _SPACES)), spaced).otherwise(text)
 
 
 def _words(words: F.Column) -> F.Column:
@@ -56,7 +66,7 @@ def plain_lines(docs: DataFrame) -> DataFrame:
 def rarity(lines: DataFrame) -> list[int]:
     """A byte below 128 for each hash bucket, about 4 log2 of the words in it, over all distinct lines."""
     words = lines.select(F.explode(F.split("words", " ", -1)).alias("w")).where("w <> ''")
-    counted = words.groupBy(F.hash("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("k")).count().collect()
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("k")).count().collect()
     counts = np.zeros(_BUCKETS)
     for k, n in counted:
         counts[k] = n
@@ -125,17 +135,18 @@ class SimilarLines:
 
     def _features(self, lines: DataFrame) -> DataFrame:
         """Number of tokens n, sketch b, prefix, and three crowd keys: its rarest token, and its tokens of least and largest hash."""
-        # One literal array, folded once, of each bucket's byte in place above a hash's 56 bits.
-        levels = F.split(F.lit(" ".join(str(x << 56) for x in rarity(lines))), " ").cast("array<bigint>")
-        # Arrays that can't hold a null are sorted and compared as plain longs.
-        code = lambda w: F.coalesce(F.get(levels, F.hash(w).bitwiseAND(F.lit(_BUCKETS - 1))), F.lit(0)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+        levels = _longs(rarity(lines))
+        # Each bucket's byte in place above a hash's 56 bits; the bucket is told by the hash's last bits.
+        code = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(_BUCKETS - 1))), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
         place = ("doc_id", "th", "line")
-        # What an empty word between two spaces gives is taken out of the numbers, not of the words.
-        tokens = F.array_remove(F.array_distinct(F.transform(F.split("words", " ", -1), code)), code(F.lit("")))
-        coded = lines.select(*_KEY, *place, F.sort_array(tokens).alias("s"))
-        parity = "aggregate({}, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 as int)))"
-        wide = [F.expr(f"case when size(s) >= {_LONG} then {parity.format(f'filter(s, t -> (t & 192) = {64 * k})')} else 0L end").alias(c) for k, c in enumerate(_WIDE, 1)]
-        sets = coded.select(*_KEY, *place, F.size("s").alias("n"), F.expr(f"{parity.format('s')}").alias("b"), *wide, F.slice("s", 1, F.size("s") - F.floor((self.percent * F.size("s") + 99) / 100).cast("int") + 1).alias("prefix"))
+        # A word is hashed once. What an empty word between two spaces gives is taken out of the hashes, not of the words.
+        hashes = F.array_distinct(F.array_remove(F.transform(F.split("words", " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+        # Arrays that can't hold a null are sorted and compared as plain longs.
+        coded = lines.select(*_KEY, *place, F.sort_array(F.transform(hashes, lambda h: F.coalesce(code(h), F.lit(0)))).alias("s"))
+        bits = [1 << i if i < 63 else _FIRST for i in range(64)]
+        parity = lambda table: F.aggregate("s", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.get(_longs(table), t.bitwiseAND(F.lit(len(table) - 1)))))
+        wide = [F.when(F.size("s") >= _LONG, parity([0] * 64 * k + bits + [0] * 64 * (3 - k))).otherwise(F.lit(0).cast("long")).alias(c) for k, c in enumerate(_WIDE, 1)]
+        sets = coded.select(*_KEY, *place, F.size("s").alias("n"), parity(bits).alias("b"), *wide, F.slice("s", 1, F.size("s") - F.floor((self.percent * F.size("s") + 99) / 100).cast("int") + 1).alias("prefix"))
         hashed = sets.withColumn("m", F.transform("prefix", lambda t: t.bitwiseAND(F.lit((1 << 56) - 1))))
         return hashed.withColumns({"k0": F.get("m", F.lit(0)), "k1": F.array_min("m"), "k2": F.array_max("m")}).drop("m")
 
@@ -154,6 +165,8 @@ class SimilarLines:
         flagged = sets.select(*_KEY, "n", "b", *_WIDE, "prefix").join(settled.withColumn("f", F.lit(1)).hint("shuffle_hash"), _KEY, "left")
         rows = flagged.select(F.posexplode("prefix").alias("p", "t"), *_KEY, (F.col("n") * 2 + F.coalesce("f", F.lit(0))).alias("nf"), "b", *_WIDE).where(F.col("t").bitwiseAND(F.lit(1)) == half)
         rows = rows.select("t", *_KEY, "b", *_WIDE, (F.col("nf").cast("long") * (1 << 24) + F.col("p")).alias("pack"))
+        # No column is null, which tables don't tell: the join, which reads them for each pair, is spared its tests.
+        rows = rows.select(*(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in rows.columns))
         # Both sides read the same columns, so that the shuffle by token is made once; a test on one side
         # alone would give that side a shuffle of its own.
         nx, ny = "shiftright(x.pack, 25)", "shiftright(y.pack, 25)"
@@ -194,8 +207,8 @@ def _keys() -> list[F.Column]:
 
 
 def _told() -> F.Column:
-    """Numbers of the lines with tokens in ``lines`` (of plain text)."""
-    return F.array_compact(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i)))
+    """Numbers of the lines with tokens in ``lines``."""
+    return F.array_compact(F.transform("lines", lambda x, i: F.when(F.ltrim(x, F.lit(" " + "".join(_SPACES))) != "", i)))
 
 
 def _or_none(stay: str) -> F.Column:
@@ -209,7 +222,7 @@ def line_report(docs: DataFrame, percent: int = 80, work: Workspace | None = Non
     comes before all others. Of lines with equal words the first by (doc_id, text hash, number) stays.
     Rows that repeat both id and text get the same lines. An empty table gives no rows; other columns
     are not read."""
-    lines = docs.select("doc_id", *_keys(), F.split(_plain(F.col("text").cast("string")), "\n", -1).alias("lines"))
+    lines = docs.select("doc_id", *_keys(), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
     told = lines.select("doc_id", "k_id", "k_th", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(_told(), F.array().cast("array<int>")).alias("told"))
     rows = told.join(_stay(docs, percent, work), ["k_id", "k_th"], "left")
     rows = rows.select("doc_id", "n_lines", F.array_except("told", _or_none("stay")).alias("gone"))
@@ -223,8 +236,7 @@ def without_similar_lines(docs: DataFrame, percent: int = 80, work: Workspace |
     whatever their names. What is said of line_report() holds here."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own"), F.col("text").cast("string").alias("text"), *_keys())
     rows = whole.join(_stay(docs, percent, work), ["k_id", "k_th"], "left").select("own", _or_none("stay").alias("stay"), "text")
-    # Told from the plain text, written from the text as it is.
-    rows = rows.select("own", "stay", "text", F.split(_plain(F.coalesce("text", F.lit(""))), "\n", -1).alias("lines"))
+    rows = rows.select("own", "stay", "text", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     rows = rows.select("own", "stay", "text", _told().alias("told")).where((F.size("told") == 0) | (F.size("stay") > 0))
     lines = rows.select("own", "stay", "text", "told", F.split("text", "\n", -1).alias("lines"))
     left = F.sort_array(F.array_union("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "told")))

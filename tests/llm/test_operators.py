@@ -378,6 +378,16 @@ def test_similar_lines_of_all_lengths(spark):
     assert sorted(((r.doc_id, r.removed_lines) for r in got), key=repr) == line_brute(rows)
 
 
+def test_line_dedup_hashes_words_once_and_reports_without_rewriting(spark):
+    docs = spark.createDataFrame([(1, "a\tb\n\t\r \x0b\f\nb  a"), (2, "\x0bB\rA\f\n\nc"), (3, "\t\n")], "doc_id long, text string")
+    report = linededup.line_report(docs)
+    assert sorted((r.doc_id, r.n_lines, r.removed_lines) for r in report.collect()) == [(1, 3, "2"), (2, 3, "0"), (3, 2, "")]
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "replace(" not in plan(report)
+    sets = linededup.SimilarLines(docs)
+    assert "hash(" not in plan(sets._features(sets._distinct(linededup.plain_lines(docs))))
+
+
 def test_toxicity():
     rng = random.Random(4)
     bad, plain = ["idiot", "moron", "scumbag"], [f"{a}{b}" for a in "ka lo mi ne".split() for b in "ra to vu sel dor".split()]
