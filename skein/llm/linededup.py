@@ -125,7 +125,8 @@ class SimilarLines:
         name, folder = f"skein_lines_{uuid.uuid4().hex}", self.work.folder("bucketed")
         self._tables.append((name, folder))
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        df.write.bucketBy(buckets, *_KEY).option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
+        # Hashes and whole lines hardly repeat: to look for their repeats costs more than it saves.
+        df.write.bucketBy(buckets, *_KEY).option("path", folder).option("compression", "zstd").option("parquet.enable.dictionary", "false").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
     def _distinct(self, lines: DataFrame) -> DataFrame:
